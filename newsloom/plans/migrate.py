@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators import store as S
+from newsloom.session import shared_folder
 from newsloom.sources.articles import read_processed
 from newsloom.sources.tables import ArticleStore
 
@@ -32,6 +33,7 @@ def migrate(
     spark: SparkSession, paths: Sequence[str], store: ArticleStore, date_mode: str = "strict",
 ) -> DataFrame:
     """Insert every valid row and return the verdict per file."""
+    shared_folder(spark)  # checkpoints need a folder
     rows = read_processed(spark, paths)
     # The verdict describes the store as it was, so it is settled before the insert.
     verdicts = file_verdicts(S.check(rows, store.articles(), date_mode)).checkpoint()

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.hashing import content_hash
 from newsloom.functions.text import or_empty
 from newsloom.operators import annotate as N
 from newsloom.operators import dedup as D
@@ -36,11 +37,12 @@ def measured_groups(
     """
     content = F.col("content")
     flag = content != "" if null_is_error else or_empty(content) != ""
-    rows = Q.assess(D.hashed(articles, profile), profile, keywords).withColumns({
-        "has_content": flag,
-        "content_hash": F.when(F.lit(not profile.drops_empty_content) | F.coalesce(flag, F.lit(False)),
-                               F.col("content_hash")),
-    })
+    text = F.coalesce(content, F.lit("None" if null_is_error else ""))
+    identity = content_hash(F.col("headline"), text, profile)
+    if profile.drops_empty_content:
+        identity = F.when(flag, identity)
+    rows = Q.assess(articles, profile, keywords).withColumns(
+        {"has_content": flag, "content_hash": identity})
     columns = ["seq", *NARROW, "has_content", *MEASURES]
     if with_content:
         rows = rows.withColumn("content", F.when(Q.passes_gate(profile), content))
