@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import WS, WHITESPACE, decode_entities, strip
+from newsloom.functions.binding import apply, bind, quoted
+from newsloom.functions.text import WS, WHITESPACE, decode_entities, sql_decoded, strip
 
 NOISE = (
     r"(?is)<!--.*?(?:-->|\z)"
@@ -45,45 +46,50 @@ def class_token(token: str) -> str:
     return rf"""\bclass\s*=\s*(?:"[^"]*{word}[^"]*"|'[^']*{word}[^']*'|{token}(?=[\s>]))"""
 
 
+def _sql_attribute(tag: str, name: str) -> str:
+    pattern = quoted(rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+    value = ", ".join(f"regexp_extract({tag}, {pattern}, {i})" for i in (1, 2, 3))
+    return sql_decoded(f"concat({value})")
+
+
 def attribute(tag: Column, name: str) -> Column:
     """Decoded value of an attribute of an opening tag, '' if absent."""
-    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return decode_entities(F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)]))
+    return apply(tag, f"x -> {_sql_attribute('x', name)}")
 
 
 def has_attribute(tag: Column, name: str) -> Column:
     return F.rlike(tag, F.lit(rf"""(?is)[\s"'/]{name}\s*="""))
 
 
+def _sql_balanced(rest: str, name: str) -> str:
+    """Usually the text up to the first closing tag; with nested tags of the same name, the pieces
+    before the closing tag of depth one, where each piece starts at such a tag."""
+    opens, closes = quoted(rf"(?i)^<{name}[\s/>]"), quoted(rf"(?i)^</{name}[\s/>]")
+    single = quoted(rf"(?i)^<{name}{_ATTRIBUTES}/>")
+    change = (f"CASE WHEN rlike(piece, {closes}) THEN -1 "
+              f"WHEN rlike(piece, {opens}) AND NOT rlike(piece, {single}) THEN 1 ELSE 0 END")
+    deeper = bind(f"acc.depth + {change}", "depth", "named_struct('depth', depth, 'taken', "
+                  "acc.taken + CASE WHEN depth > 0 THEN 1 ELSE 0 END)")
+    taken = (f"aggregate(pieces, named_struct('depth', 1, 'taken', 0), "
+             f"(acc, piece) -> CASE WHEN acc.depth > 0 THEN {deeper} ELSE acc END, acc -> acc.taken)")
+    edge = quoted(rf"(?i)(?=</?{name}[\s/>])")
+    nested = bind(f"split(r, {edge}, -1)", "pieces", f"array_join(slice(pieces, 1, {taken}), '')")
+    first_close = quoted(rf"(?i)</{name}[\s/>]")
+    return bind(rest, "r", bind(
+        f"element_at(split(r, {first_close}, 2), 1)", "plain",
+        f"CASE WHEN rlike(plain, {quoted(rf'(?i)<{name}[\s/>]')}) THEN {nested} ELSE plain END"))
+
+
 def balanced(rest: Column, name: str) -> Column:
     """What lies between an opening tag ``name`` (already cut off) and its closing tag."""
-    edge = rf"(?i)(?=</?{name}[\s/>])"
-    pieces = F.split(rest, edge, -1)
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("taken"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        inside = acc["depth"] > 0
-        closes = F.rlike(piece, F.lit(rf"(?i)^</{name}[\s/>]"))
-        opens = F.rlike(piece, F.lit(rf"(?i)^<{name}[\s/>]")) & ~F.rlike(
-            piece, F.lit(rf"(?i)^<{name}{_ATTRIBUTES}/>"))
-        depth = acc["depth"] + F.when(closes, -1).when(opens, 1).otherwise(0)
-        return F.when(
-            inside,
-            F.struct(depth.alias("depth"),
-                     (acc["taken"] + F.when(depth > 0, 1).otherwise(0)).alias("taken")),
-        ).otherwise(acc)
-
-    taken = F.aggregate(pieces, start, step, lambda acc: acc["taken"])
-    nested = F.array_join(F.slice(pieces, F.lit(1), taken), "")
-    plain = F.element_at(F.split(rest, rf"(?i)</{name}[\s/>]", 2), 1)
-    return F.when(~F.rlike(plain, F.lit(rf"(?i)<{name}[\s/>]")), plain).otherwise(nested)
+    return apply(rest, f"x -> {_sql_balanced('x', name)}")
 
 
 def element(html: Column, name: str, condition: str = "") -> Column:
     """Inner HTML of the first matching element; NULL when the page has none."""
-    pattern = open_tag(name, condition)
-    pieces = F.split(html, pattern, 2)
-    return F.when(F.size(pieces) > 1, balanced(F.element_at(pieces, 2), name))
+    inner = _sql_balanced("element_at(halves, 2)", name)
+    return apply(F.split(html, open_tag(name, condition), 2),
+                 f"halves -> CASE WHEN size(halves) > 1 THEN {inner} END")
 
 
 def first_tag(html: Column, name: str, condition: str = "") -> Column:
@@ -133,32 +139,22 @@ def parent_classes(html: Column) -> Column:
     A walk over the page's tags with the stack of open elements; closing a tag closes everything
     opened since. Stays one row's work, no shuffle.
     """
-    parsed = F.transform(
-        tags(html),
-        lambda t: F.struct(
-            F.lower(F.regexp_extract(t, r"^</?([A-Za-z][^\s/>]*)", 1)).alias("name"),
-            F.startswith(t, F.lit("</")).alias("closing"),
-            F.endswith(t, F.lit("/>")).alias("single"),
-            F.rlike(t, F.lit(r"(?i)^<a\s")).alias("link"),
-            attribute(t, "class").alias("cls"),
-        ),
-    )
-    start = F.struct(
-        F.array().cast("array<struct<name:string,cls:string>>").alias("open"),
-        F.array().cast("array<string>").alias("found"),
-    )
-
-    def step(acc: Column, t: Column) -> Column:
-        stack = acc["open"]
-        names = F.reverse(F.transform(stack, lambda s: s["name"]))
-        above = F.array_position(names, t["name"])
-        popped = F.when(above > 0, F.slice(stack, F.lit(1), F.size(stack) - above.cast("int"))).otherwise(stack)
-        pushed = F.concat(stack, F.array(F.struct(t["name"].alias("name"), t["cls"].alias("cls"))))
-        stays = (t["name"] == "") | t["single"] | t["name"].isin(*VOID)
-        holder = F.coalesce(F.try_element_at(stack, F.lit(-1))["cls"], F.lit(""))
-        return F.struct(
-            F.when(t["closing"], popped).when(stays, stack).otherwise(pushed).alias("open"),
-            F.when(t["link"], F.concat(acc["found"], F.array(holder))).otherwise(acc["found"]).alias("found"),
-        )
-
-    return F.aggregate(parsed, start, step, lambda acc: acc["found"])
+    parsed = F.expr("t -> named_struct("
+                    r"'name', lower(regexp_extract(t, '^</?([A-Za-z][^\\s/>]*)', 1)), "
+                    "'closing', startswith(t, '</'), 'single', endswith(t, '/>'), "
+                    r"'link', rlike(t, '(?i)^<a\\s'), "
+                    f"'cls', {_sql_attribute('t', 'class')})")
+    void = ", ".join(quoted(v) for v in VOID)
+    above = "array_position(reverse(transform(acc.open, o -> o.name)), t.name)"
+    popped = bind(above, "k", "CASE WHEN k > 0 THEN "
+                  "slice(acc.open, 1, size(acc.open) - CAST(k AS INT)) ELSE acc.open END")
+    stack = f"""CASE WHEN t.closing THEN {popped}
+      WHEN t.name = '' OR t.single OR t.name IN ({void}) THEN acc.open
+      ELSE concat(acc.open, array(named_struct('name', t.name, 'cls', t.cls))) END"""
+    found = """CASE WHEN t.link THEN
+      concat(acc.found, array(coalesce(try_element_at(acc.open, -1).cls, ''))) ELSE acc.found END"""
+    start = F.expr("""named_struct('open', CAST(array() AS ARRAY<STRUCT<name: STRING, cls: STRING>>),
+      'found', CAST(array() AS ARRAY<STRING>))""")
+    step = F.expr(f"(acc, t) -> named_struct('open', {stack}, 'found', {found})")
+    walk = F.call_function("transform", tags(html), parsed)
+    return F.call_function("aggregate", walk, start, step, F.expr("acc -> acc.found"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import html
+from functools import lru_cache
 from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import apply, bind, quoted
+
 # The 29 characters Python's str.strip() and str.split() treat as white space.
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
@@ -59,80 +62,66 @@ _WITHOUT_SEMICOLON = sorted((n for n in html5 if not n.endswith(";")), key=len,
 # Numbers 128..159 mean the windows-1252 characters; the standard library knows which.
 _C1 = {str(n): html.unescape(f"&#{n};") for n in range(128, 160)}
 # Code points that a numeric reference may not produce: html.unescape drops these.
-_DROPPED = [n for n in [*range(1, 32), 127, *range(128, 160), 0xFDD0] if not html.unescape(f"&#{n};")]
-
-
-def _map_literal(entries: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
-
+_DROPPED = [n for n in [*range(1, 32), 127] if not html.unescape(f"&#{n};")]
 
-def _big_map_literal(entries: dict[str, str]) -> Column:
-    import json
 
-    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+def _look_up(entries: dict[str, str], name: str) -> str:
+    """Value of a name in a fixed table, NULL if it is not there. The table is one literal text:
+    rare lookups do not pay for a map in every plan."""
+    table = quoted("\x01" + "".join(f"{key}\x02{value}\x01" for key, value in entries.items()))
+    after = f"substring_index({table}, concat('\x01', {name}, '\x02'), -1)"
+    return bind(f"substring_index({after}, '\x01', 1)", "v", "CASE WHEN v <> '' THEN v END")
 
 
-def _code_point(number: Column) -> Column:
-    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-    dropped = (
-        number.isin(_DROPPED)
-        | number.between(0xFDD0, 0xFDEF)
-        | ((number > 0xFFFF) & (F.pmod(number, F.lit(0x10000)) >= 0xFFFE))
-    )
-    as_text = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    return (
-        F.when(F.pmod(number, F.lit(256)).eqNullSafe(number) & number.between(128, 159),
-               F.try_element_at(_map_literal(_C1), number.cast("string")))
-        .when(valid & dropped, "")
-        .when(valid, as_text)
-        .otherwise("�")
-    )
+def _code_point(digits: str, number_base: int) -> str:
+    """The character of a numeric reference. More than eight significant digits are no code point."""
+    number = bind(f"ltrim('0', {digits})", "d", "CASE WHEN length(d) > 8 THEN -1 ELSE "
+                  f"CAST(conv(concat('0', d), {number_base}, 10) AS BIGINT) END")
+    return bind(number, "n", f"""CASE
+      WHEN n BETWEEN 128 AND 159 THEN coalesce({_look_up(_C1, "CAST(n AS STRING)")}, '')
+      WHEN n IN ({", ".join(map(str, _DROPPED))}) OR n BETWEEN 64976 AND 65007
+        OR (n BETWEEN 65536 AND 1114111 AND pmod(n, 65536) >= 65534) THEN ''
+      WHEN n BETWEEN 1 AND 55295 OR n BETWEEN 57344 AND 1114111
+        THEN decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32')
+      ELSE '\ufffd' END""")
 
 
-def _decode_piece(piece: Column) -> Column:
-    """``piece`` is what follows an ampersand, up to the next one."""
-    named = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]*);", 1)
-    bare = F.regexp_extract(piece, "^(" + "|".join(_WITHOUT_SEMICOLON) + ")", 1)
-    decimal = F.regexp_extract(piece, "^#([0-9]+)", 1)
-    hexadecimal = F.regexp_extract(piece, "^#[xX]([0-9a-fA-F]+)", 1)
-    value = F.try_element_at(_big_map_literal(_NAMED), named)
+@lru_cache
+def _decode_piece() -> str:
+    """SQL over ``p``, which is what follows an ampersand, up to the next one."""
+    decimal, hexadecimal = quoted("^#([0-9]+);?"), quoted("^#[xX]([0-9a-fA-F]+);?")
+    full = quoted("^([A-Za-z][A-Za-z0-9]*);")
+    bare = quoted("^(" + "|".join(_WITHOUT_SEMICOLON) + ")")
 
-    def numeric(digits: Column, base: int) -> Column:
-        # More than eight significant digits cannot be a code point in either base.
-        significant = F.ltrim(digits, F.lit("0"))
-        number = F.when(F.length(significant) > 8, F.lit(-1)).otherwise(
-            F.conv(F.concat(F.lit("0"), significant), base, 10).cast("long"))
-        return _code_point(number)
+    def named(pattern: str, entries: dict[str, str]) -> str:
+        return bind(f"regexp_extract(p, {pattern}, 1)", "name", f"CASE WHEN name <> '' THEN "
+                    f"concat({_look_up(entries, 'name')}, regexp_replace(p, {pattern}, '')) END")
 
-    def tail(pattern: str) -> Column:
-        return F.regexp_replace(piece, pattern, "")
+    def numeric(pattern: str, number_base: int) -> str:
+        character = _code_point(f"regexp_extract(p, {pattern}, 1)", number_base)
+        return f"WHEN rlike(p, {pattern}) THEN concat({character}, regexp_replace(p, {pattern}, ''))"
 
-    return (
-        F.when((named != "") & value.isNotNull(),
-               F.concat(value, F.substr(piece, F.length(named) + 2)))
-        .when(decimal != "", F.concat(numeric(decimal, 10), tail("^#[0-9]+;?")))
-        .when(hexadecimal != "", F.concat(numeric(hexadecimal, 16), tail("^#[xX][0-9a-fA-F]+;?")))
-        .when(bare != "", F.concat(F.try_element_at(_big_map_literal(
-            {n: html5[n] for n in _WITHOUT_SEMICOLON}), bare), F.substr(piece, F.length(bare) + 1)))
-        .otherwise(F.concat(F.lit("&"), piece))
-    )
+    legacy = {name: html5[name] for name in _WITHOUT_SEMICOLON}
+    return f"""CASE {numeric(decimal, 10)} {numeric(hexadecimal, 16)}
+      ELSE coalesce({named(full, _NAMED)}, {named(bare, legacy)}, concat('&', p)) END"""
 
 
-def decode_entities(text: Column) -> Column:
-    """``html.unescape(text)``.
+def sql_decoded(value: str) -> str:
+    """``html.unescape`` as SQL text.
 
     Texts whose references are all common ones take a chain of plain replacements, ``&amp;`` last so
     that nothing is decoded twice; the rest is decoded reference by reference.
     """
-    simple = text
+    common = "t"
     for name in _COMMON:
-        simple = F.replace(simple, F.lit(f"&{name};"), F.lit(_NAMED[name]))
-    settled = ~F.contains(F.replace(simple, F.lit("&amp;"), F.lit("")), F.lit("&"))
-    pieces = F.split(text, "&", -1)
-    general = F.array_join(
-        F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(_decode_piece(p))), "")
-    return (
-        F.when(~F.contains(text, F.lit("&")), text)
-        .when(settled, F.replace(simple, F.lit("&amp;"), F.lit("&")))
-        .otherwise(general)
-    )
+        common = f"replace({common}, '&{name};', {quoted(_NAMED[name])})"
+    general = ("array_join(transform(split(t, '&', -1), "
+               f"(p, i) -> CASE WHEN i = 0 THEN p ELSE {_decode_piece()} END), '')")
+    settled = bind(common, "c", f"""CASE WHEN contains(replace(c, '&amp;', ''), '&') THEN {general}
+      ELSE replace(c, '&amp;', '&') END""")
+    return bind(value, "t", f"CASE WHEN NOT contains(t, '&') THEN t ELSE {settled} END")
+
+
+def decode_entities(text: Column) -> Column:
+    """``html.unescape(text)``."""
+    return apply(text, f"x -> {sql_decoded('x')}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import let
+
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _PARTS = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -40,47 +42,63 @@ def _without_dots(path: Column) -> Column:
         .when(s == ".", acc)
         .otherwise(F.concat(acc, F.array(s))),
     )
-    joined = F.array_join(
-        F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit(""))))
-        .otherwise(kept), "/")
-    return F.when(F.startswith(joined, F.lit("/")), joined).otherwise(F.concat(F.lit("/"), joined))
+    trailing = F.when(F.rlike(path, F.lit(r"(^|/)\.\.?$")), F.array(F.lit(""))).otherwise(
+        F.array().cast("array<string>"))
+    return let(F.array_join(F.concat(kept, trailing), "/"), lambda joined: F.when(
+        F.startswith(joined, F.lit("/")), joined).otherwise(F.concat(F.lit("/"), joined)))
+
+
+def _parts(url: Column) -> Column:
+    """Scheme, authority, path, query and fragment; an empty query or fragment is dropped, as it is
+    when a URL is put together again."""
+    def lead(value: Column) -> Column:
+        return let(value, lambda v: F.when(F.length(v) == 1, "").otherwise(v))
+
+    return F.struct(
+        F.lower(F.regexp_extract(url, _SCHEME, 1)).alias("scheme"),
+        F.regexp_extract(url, _PARTS, 1).alias("authority"),
+        F.regexp_extract(url, _PARTS, 2).alias("path"),
+        lead(F.regexp_extract(url, _PARTS, 3)).alias("query"),
+        lead(F.regexp_extract(url, _PARTS, 4)).alias("fragment"),
+    )
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """``urljoin(base, href)`` for web references."""
-    ref = clean_url(href)
-    scheme = F.lower(F.regexp_extract(ref, _SCHEME, 1))
-    base_scheme = F.lower(F.regexp_extract(base, _SCHEME, 1))
-    authority, path, query, fragment = (F.regexp_extract(ref, _PARTS, i) for i in range(1, 5))
-    base_authority, base_path, base_query = (F.regexp_extract(base, _PARTS, i) for i in range(1, 4))
-    # An empty query or fragment is dropped when the URL is put together again.
-    query = F.when(query == "?", "").otherwise(query)
-    fragment = F.when(fragment == "#", "").otherwise(fragment)
-    base_query = F.when(base_query == "?", "").otherwise(base_query)
-
-    folder = F.regexp_extract(base_path, "^(.*/)[^/]*$", 1)
-    relative = F.regexp_replace(F.concat(
-        F.when((folder == "") & (base_authority != ""), F.lit("/")).otherwise(folder), path),
-        "(?<=.)/{2,}(?=.)", "/")
+def _target_path(base: Column, path: Column) -> Column:
+    folder = F.regexp_extract(base["path"], "^(.*/)[^/]*$", 1)
+    rooted = let(folder, lambda f: F.when((f == "") & (base["authority"] != ""), F.lit("/")).otherwise(f))
+    relative = F.regexp_replace(F.concat(rooted, path), "(?<=.)/{2,}(?=.)", "/")
     target = F.when(F.startswith(path, F.lit("/")), path).otherwise(relative)
-    dotted = F.rlike(target, F.lit(r"(^|/)\.\.?(/|$)"))
-    final_path = F.when(dotted, _without_dots(target)).otherwise(target)
+    return let(target, lambda t: F.when(F.rlike(t, F.lit(r"(^|/)\.\.?(/|$)")), _without_dots(t)).otherwise(t))
+
+
+def _prefixed(prefix: str, value: Column, suffix: str = "") -> Column:
+    return F.when(value == "", F.lit("")).otherwise(F.concat(F.lit(prefix), value, F.lit(suffix)))
 
-    prefix = F.concat(F.when(base_scheme == "", F.lit("")).otherwise(F.concat(base_scheme, F.lit(":"))))
-    with_host = F.concat(
-        prefix, F.when(base_authority == "", F.lit("")).otherwise(F.concat(F.lit("//"), base_authority)))
-    other_scheme = (scheme != "") & ((scheme != base_scheme) | ~scheme.isin(*_RELATIVE_SCHEMES))
+
+def _combine(base_url: Column, ref_url: Column, base: Column, ref: Column) -> Column:
+    scheme = _prefixed("", base["scheme"], ":")
+    host = F.concat(scheme, _prefixed("//", base["authority"]))
+    other_scheme = (ref["scheme"] != "") & (
+        (ref["scheme"] != base["scheme"]) | ~ref["scheme"].isin(*_RELATIVE_SCHEMES))
     return (
-        F.when(ref == "", base)
-        .when(base == "", ref)
-        .when(other_scheme, ref)
-        .when(authority != "", F.concat(prefix, F.lit("//"), authority, path, query, fragment))
-        .when(path == "", F.concat(
-            with_host, base_path, F.when(query == "", base_query).otherwise(query), fragment))
-        .otherwise(F.concat(with_host, final_path, query, fragment))
+        F.when(ref_url == "", base_url)
+        .when((base_url == "") | other_scheme, ref_url)
+        .when(ref["authority"] != "", F.concat(
+            scheme, F.lit("//"), ref["authority"], ref["path"], ref["query"], ref["fragment"]))
+        .when(ref["path"] == "", F.concat(
+            host, base["path"], F.when(ref["query"] == "", base["query"]).otherwise(ref["query"]),
+            ref["fragment"]))
+        .otherwise(F.concat(host, _target_path(base, ref["path"]), ref["query"], ref["fragment"]))
     )
 
 
+def resolve(base: Column, href: Column) -> Column:
+    """``urljoin(base, href)`` for web references."""
+    return let(clean_url(href), lambda ref_url: let(
+        F.struct(_parts(base).alias("base"), _parts(ref_url).alias("ref")),
+        lambda p: _combine(base, ref_url, p["base"], p["ref"])))
+
+
 def resolve_naive(base: Column, href: Column) -> Column:
     """Glue a relative link to the page URL with exactly one slash; empty links have no target."""
     glued = F.concat(F.rtrim(base, F.lit("/")), F.lit("/"), F.ltrim(href, F.lit("/")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import dates as D
 from newsloom.functions import html as H
+from newsloom.functions.binding import let, settled
 from newsloom.functions.text import or_empty, strip
 from newsloom.operators.quality import usable
 
@@ -30,7 +31,7 @@ def _meta(page: Column, key: str, value: str) -> Column:
 
 
 def _first_filled(*values: Column) -> Column:
-    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
+    return F.coalesce(*[let(v, lambda x: F.when(x != "", x)) for v in values], F.lit(""))
 
 
 def _page(html: Column) -> Column:
@@ -65,14 +66,19 @@ def content_fallback(page: Column) -> Column:
 
 
 def content_rendered(page: Column) -> Column:
-    """The first place with more than 200 characters, otherwise the last place that exists."""
-    texts = [H.inner_text(H.element(page, name, condition)) for name, condition in CONTENT_PLACES]
-    every = F.array(*texts)
-    rest = F.coalesce(
-        F.get(F.filter(every, lambda t: F.length(t) > LONG_ENOUGH), F.lit(0)),
-        F.try_element_at(F.array_compact(every), F.lit(-1)),
-        F.lit(""))
-    return F.when(F.length(texts[0]) > LONG_ENOUGH, texts[0]).otherwise(rest)
+    """The first place with more than 200 characters, otherwise the last place that exists. The other
+    places are looked at only if the first one is too short."""
+    first, *others = (
+        H.inner_text(H.element(page, name, condition)) for name, condition in CONTENT_PLACES)
+
+    def choose(every: Column) -> Column:
+        return F.coalesce(
+            F.get(F.filter(every, lambda t: F.length(t) > LONG_ENOUGH), F.lit(0)),
+            F.try_element_at(F.array_compact(every), F.lit(-1)),
+            F.lit(""))
+
+    return let(first, lambda text: F.when(F.length(text) > LONG_ENOUGH, text).otherwise(
+        let(F.array(text, *others), choose)))
 
 
 def content_listing(page: Column) -> Column:
@@ -81,11 +87,9 @@ def content_listing(page: Column) -> Column:
     opening = (
         rf"(?i:<div\s[^>]*?(?:{marked})[^>]*>|<article(?=[\s/>])[^>]*>|<main(?=[\s/>])[^>]*>)")
     name = F.lower(F.regexp_extract(F.regexp_extract(page, opening, 0), "^<([A-Za-z]+)", 1))
-    rest = F.try_element_at(F.split(page, opening, 2), F.lit(2))
-    inner = (
-        F.when(name == "div", H.balanced(rest, "div"))
-        .when(name == "article", H.balanced(rest, "article"))
-        .when(name == "main", H.balanced(rest, "main")))
+    found = F.struct(name.alias("name"), F.try_element_at(F.split(page, opening, 2), F.lit(2)).alias("rest"))
+    inner = let(found, lambda f: F.coalesce(*[
+        F.when(f["name"] == kind, H.balanced(f["rest"], kind)) for kind in ("div", "article", "main")]))
     return or_empty(H.inner_text(inner))
 
 
@@ -132,9 +136,10 @@ def _record(pages: DataFrame, date: Column, headline: Column, content: Column) -
     fields = ("html", "url", "_page")
     keys = [c for c in pages.columns if c not in (*fields, "source_url", "listing_date")]
     origin = F.col("source_url") if "source_url" in pages.columns else F.col("url")
-    return pages.select(
+    record = pages.select(
         *keys, date.alias("date"), headline.alias("headline"), content.alias("content"),
         F.col("url").alias("article_url"), origin.alias("source_url"))
+    return settled(record, "date", "headline", "content")
 
 
 def extract_main(pages: DataFrame) -> DataFrame:

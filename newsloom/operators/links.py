@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import html as H
 from newsloom.functions import urls as U
+from newsloom.functions.binding import let, settled
 
 # What marks a link as leading to an article.
 STATIC_PATHS = ("/news/", "/article/", "/story/")
@@ -30,12 +31,13 @@ def anchors(pages: DataFrame, *kept: str) -> DataFrame:
     found = F.regexp_extract_all(H.without_noise(F.col("html")), F.lit(_ANCHOR), 0)
     rows = pages.select(*kept, F.col("url").alias("source_url"), F.posexplode(found).alias("pos", "_a"))
     tag = F.regexp_extract("_a", rf"(?is)^<a\s{H._ATTRIBUTES}>", 0)
-    return rows.filter(H.has_attribute(tag, "href")).select(
+    found_links = rows.withColumn("_tag", tag).select(
         *kept, "source_url", "pos",
-        H.attribute(tag, "href").alias("href"),
-        H.attribute(tag, "class").alias("link_class"),
+        F.when(H.has_attribute(F.col("_tag"), "href"), H.attribute(F.col("_tag"), "href")).alias("href"),
+        H.attribute(F.col("_tag"), "class").alias("link_class"),
         F.rlike("_a", F.lit(r"(?i)<h[23][\s>]")).alias("has_heading"),
     )
+    return settled(found_links, "href", "link_class", "has_heading").filter(F.col("href").isNotNull())
 
 
 def anchors_with_holder(pages: DataFrame, holder_tokens: tuple[str, ...]) -> DataFrame:
@@ -78,8 +80,8 @@ def _any(conditions: list[Column]) -> Column:
 
 def static_links(pages: DataFrame) -> DataFrame:
     """Candidates of the first extractor: same site, no excluded token, article-like."""
-    rows = anchors_with_holder(pages, (TEASER,)).withColumn(
-        "article_url", U.resolve(F.col("source_url"), F.col("href")))
+    rows = settled(anchors_with_holder(pages, (TEASER,)).withColumn(
+        "article_url", U.resolve(F.col("source_url"), F.col("href"))), "article_url")
     url = F.col("article_url")
     kept = rows.filter(
         U.same_site(F.col("source_url"), url)
@@ -125,11 +127,9 @@ def card_links(pages: DataFrame) -> DataFrame:
     name = F.lower(F.regexp_extract("_part", r"^<([A-Za-z][A-Za-z0-9]*)", 1))
     rest = F.regexp_replace("_part", rf"^{opening}", "")
     is_card = F.rlike("_part", F.lit(rf"^{opening}"))
-    inside = F.when(is_card, F.when(name == "div", H.balanced(rest, "div"))
-                    .when(name == "li", H.balanced(rest, "li"))
-                    .when(name == "article", H.balanced(rest, "article"))
-                    .when(name == "section", H.balanced(rest, "section"))
-                    .otherwise(rest))
+    holders = ("div", "li", "article", "section")
+    inside = let(F.struct(name.alias("name"), rest.alias("rest")), lambda c: F.when(is_card, F.coalesce(
+        *[F.when(c["name"] == kind, H.balanced(c["rest"], kind)) for kind in holders], c["rest"])))
     info = H.open_tag(r"[a-z][a-z0-9]*", H.class_token(CARD_INFO))
     after_info = F.split(F.col("_inside"), info, 2)
     info_text = H.inner_text(F.regexp_extract(

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import or_empty, sentence_count
+from newsloom.functions.binding import settled
+from newsloom.functions.text import or_empty, sentence_count, strip
 from newsloom.profiles import Band, Profile
 
 
@@ -43,11 +44,12 @@ def measure(
     """Add the three counts the bands are read from; the only step that touches the text."""
     content = or_empty(F.col("content"))
     words = profile.keywords if keywords is None else keywords
-    return articles.withColumns({
+    counts = {
         "content_length": F.length(content),
         "sentence_count": sentence_count(content),
         "tech_keyword_count": keyword_count(content, words, casefold_keywords),
-    })
+    }
+    return settled(articles.withColumns(counts), *counts)
 
 
 def grade(measured: DataFrame, profile: Profile) -> DataFrame:
@@ -94,7 +96,5 @@ def passes_gate(profile: Profile) -> Column:
 
 def usable(content: Column, headline: Column, minimum: int = 200) -> Column:
     """Text long enough after stripping, and a headline that is not blank; missing values fail."""
-    from newsloom.functions.text import strip
-
     return F.coalesce(
         (F.length(strip(content)) >= minimum) & (F.length(strip(headline)) > 0), F.lit(False))

@@ -31,10 +31,11 @@ def migrated_total(verdicts: DataFrame) -> DataFrame:
 
 def migrate(
     spark: SparkSession, paths: Sequence[str], store: ArticleStore, date_mode: str = "strict",
+    lines: bool = False,
 ) -> DataFrame:
     """Insert every valid row and return the verdict per file."""
     shared_folder(spark)  # checkpoints need a folder
-    rows = read_processed(spark, paths)
+    rows = read_processed(spark, paths, lines)
     # The verdict describes the store as it was, so it is settled before the insert.
     verdicts = file_verdicts(S.check(rows, store.articles(), date_mode)).checkpoint()
     store.insert(rows, date_mode)

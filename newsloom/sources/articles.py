@@ -1,6 +1,7 @@
 """Article files in and out.
 
-A JSON array file is read by one task, however large; convert archives to Parquet once.
+A file is either one JSON array or, with ``lines``, one JSON object per line. Spark splits the latter
+over tasks; an array is read by one task, however large, so convert big archives once.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from newsloom.schemas import PROCESSED_ARTICLE, RAW_ARTICLE
 from newsloom.sources.folders import next_number
 
 
-def _array_files(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, mode: str) -> DataFrame:
-    reader = spark.read.schema(schema).option("multiLine", True).option("mode", mode)
+def _json_files(
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, mode: str, lines: bool,
+) -> DataFrame:
+    reader = spark.read.schema(schema).option("multiLine", not lines).option("mode", mode)
     return reader.json(paths if isinstance(paths, str) else list(paths))
 
 
@@ -27,20 +30,23 @@ def with_seq(df: DataFrame) -> DataFrame:
     return df.withColumn("seq", F.monotonically_increasing_id())
 
 
-def read_raw(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Raw articles with ``seq``. Strict: a missing or broken file is an error. Otherwise such a file
-    has no rows."""
+def read_raw(spark: SparkSession, path: str, strict: bool = True, lines: bool = False) -> DataFrame:
+    """Raw articles with ``seq``. Strict: a missing or broken file is an error. Otherwise a missing
+    file, a broken array or a broken line has no rows."""
+    mode = "FAILFAST" if strict else "DROPMALFORMED"
     try:
-        return with_seq(_array_files(spark, path, RAW_ARTICLE, "FAILFAST" if strict else "DROPMALFORMED"))
+        return with_seq(_json_files(spark, path, RAW_ARTICLE, mode, lines))
     except AnalysisException as problem:
         if strict or problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return with_seq(spark.createDataFrame([], RAW_ARTICLE))
 
 
-def read_processed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_processed(
+    spark: SparkSession, paths: str | Sequence[str], lines: bool = False,
+) -> DataFrame:
     """Processed articles with ``seq`` and the ``file`` they come from."""
-    rows = _array_files(spark, paths, PROCESSED_ARTICLE, "FAILFAST")
+    rows = _json_files(spark, paths, PROCESSED_ARTICLE, "FAILFAST", lines)
     return with_seq(rows.withColumn("file", F.col("_metadata.file_path")))
 
 

@@ -12,9 +12,11 @@ from newsloom.sources.articles import with_seq
 from newsloom.sources.tables import ArticleStore
 
 
-def raw_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+def raw_stream(
+    spark: SparkSession, folder: str, files_per_batch: int | None = None, lines: bool = False,
+) -> DataFrame:
     """Raw-article files as they arrive in a folder."""
-    reader = spark.readStream.schema(RAW_ARTICLE).option("multiLine", True)
+    reader = spark.readStream.schema(RAW_ARTICLE).option("multiLine", not lines)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(folder)
