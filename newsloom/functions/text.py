@@ -80,7 +80,7 @@ def _code_point(digits: str, number_base: int) -> str:
     return bind(number, "n", f"""CASE
       WHEN n BETWEEN 128 AND 159 THEN coalesce({_look_up(_C1, "CAST(n AS STRING)")}, '')
       WHEN n IN ({", ".join(map(str, _DROPPED))}) OR n BETWEEN 64976 AND 65007
-        OR (n BETWEEN 65536 AND 1114111 AND pmod(n, 65536) >= 65534) THEN ''
+        OR (n BETWEEN 65534 AND 1114111 AND pmod(n, 65536) >= 65534) THEN ''
       WHEN n BETWEEN 1 AND 55295 OR n BETWEEN 57344 AND 1114111
         THEN decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32')
       ELSE '\ufffd' END""")

@@ -328,14 +328,15 @@ def incremental_runs(spark, folder):
     store = ArticleStore(spark, root)
     replies = V.responses(spark, folder)
 
+    fields = ("date", "headline", "content", "article_url", "source_url")
+    identity = F.md5(F.concat_ws("|", *fields))
+    order = V.articles(spark, folder).groupBy(identity.alias("_id")).agg(F.min("seq").alias("seq"))
+
     def judge(rows):
-        by_hash = V.articles(spark, folder)
-        numbered = rows.drop("seq").join(
-            by_hash.select("seq", F.md5("content").alias("_md5")).groupBy("_md5").agg(F.min("seq").alias("seq")),
-            F.md5(F.col("content")) == F.col("_md5")).drop("_md5")
+        numbered = rows.drop("seq").withColumn("_id", identity).join(order, "_id").drop("_id")
         return P.process(numbered, replies, PROFILE_A, V.KEYWORDS)
 
-    for turn in range(2):
+    for _ in range(2):
         V.articles(spark, folder).drop("seq").write.mode("append").json(arriving)
         query = ingest(raw_stream(spark, arriving, lines=True), store, root + "-checkpoint", judge)
         query.awaitTermination()
