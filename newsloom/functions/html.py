@@ -10,16 +10,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom.functions.binding import apply, bind, quoted
-from newsloom.functions.text import WS, WHITESPACE, decode_entities, sql_decoded, strip
+from newsloom.functions.text import collapse, decode_entities, sql_decoded, strip
 
+# Patterns start with one literal character, which is what the regex engine looks for first.
 NOISE = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<script\b.*?(?:</script\s*>|\z)"
-    r"|<style\b.*?(?:</style\s*>|\z)"
-    r"|<template\b.*?(?:</template\s*>|\z)"
+    r"(?is)<(?:!--.*?(?:-->|\z)"
+    r"|script\b.*?(?:</script\s*>|\z)"
+    r"|style\b.*?(?:</style\s*>|\z)"
+    r"|template\b.*?(?:</template\s*>|\z))"
 )
 _ATTRIBUTES = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*"""
-TAG = rf"<[/!?A-Za-z]{_ATTRIBUTES}>|<[/!?A-Za-z][^>]*>"
+TAG = rf"<[/!?A-Za-z](?:{_ATTRIBUTES}>|[^>]*>)"
 MARK = "\x01"
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
         "source", "track", "wbr")
@@ -98,10 +99,10 @@ def first_tag(html: Column, name: str, condition: str = "") -> Column:
 
 
 def node_text(inner: Column, separator: str) -> Column:
-    """Text nodes, each stripped, joined by ``separator``; empty nodes vanish."""
-    marked = decode_entities(F.regexp_replace(without_noise(inner), TAG, MARK))
-    joined = F.regexp_replace(marked, f"{WS}*{MARK}(?:{WS}|{MARK})*+", MARK)
-    return F.replace(F.trim(joined, F.lit(WHITESPACE + MARK)), F.lit(MARK), F.lit(separator))
+    """Text nodes of a noise-free part, each stripped, joined by ``separator``; empty nodes vanish."""
+    marked = decode_entities(F.regexp_replace(inner, TAG, MARK))
+    nodes = F.transform(F.split(marked, MARK, -1), strip)
+    return F.array_join(F.filter(nodes, lambda n: n != ""), separator)
 
 
 _BLOCKS = ("address|article|aside|blockquote|dd|details|div|dl|dt|fieldset|figcaption|figure|footer"
@@ -109,23 +110,23 @@ _BLOCKS = ("address|article|aside|blockquote|dd|details|div|dl|dt|fieldset|figca
 
 
 def inner_text(inner: Column) -> Column:
-    """Rendered text: white space collapsed, line breaks at block edges, a blank line around
-    paragraphs. Style sheets are not applied."""
-    flat = F.regexp_replace(without_noise(inner), r"[ \t\r\n\f]+", " ")
+    """Rendered text of a noise-free part: white space collapsed, line breaks at block edges, a blank
+    line around paragraphs. Style sheets are not applied."""
+    flat = F.regexp_replace(F.regexp_replace(inner, r"[\t\r\n\f]", " "), "  +", " ")
     text = F.regexp_replace(flat, r"(?i)<br\s*/?>", "\x02")
     text = F.regexp_replace(text, r"(?i)</?p(?:\s[^>]*)?>", "\x03")
     text = F.regexp_replace(text, rf"(?i)</?(?:{_BLOCKS})(?:\s[^>]*)?>", "\x01")
     text = decode_entities(F.regexp_replace(text, TAG, ""))
-    text = F.regexp_replace(text, "[ \x01]*\x03[ \x01\x03]*", "\n\n")
-    text = F.regexp_replace(text, " *\x01[ \x01]*", "\n")
-    text = F.regexp_replace(text, " *\x02 *", "\n")
+    text = F.regexp_replace(text, " ?\x01[ \x01]*", "\x01")
+    text = F.regexp_replace(text, " ?\x01?\x03[ \x01\x03]*", "\n\n")
+    text = F.replace(text, F.lit("\x01"), F.lit("\n"))
+    text = F.regexp_replace(text, " ?\x02 ?", "\n")
     return strip(F.regexp_replace(text, "  +", " "))
 
 
 def clean_text(text: Column) -> Column:
     """Tags removed, white space collapsed, stripped."""
-    bare = decode_entities(F.regexp_replace(without_noise(text), TAG, ""))
-    return strip(F.regexp_replace(bare, f"{WS}+", " "))
+    return collapse(decode_entities(F.regexp_replace(without_noise(text), TAG, "")))
 
 
 def tags(html: Column) -> Column:

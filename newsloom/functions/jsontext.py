@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import let
+
 _STRICT = {"allowSingleQuotes": "false"}
 
 
@@ -20,13 +22,17 @@ def parse_one(text: Column, fields: str) -> Column:
 
 
 def value_kind(text: Column) -> Column:
-    """``STRING``, ``BIGINT``, ``OBJECT<..>``, ``ARRAY<..>``, ``VOID`` ... of a JSON text; NULL if it is
-    not exactly one JSON value."""
-    array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    alone = F.try_variant_get(array, "$[1]", "variant").isNull()
-    strict = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _STRICT)
-    first = F.try_variant_get(array, "$[0]", "variant")
-    return F.when(alone & (F.size(strict) == 1), F.schema_of_variant(first))
+    """``OBJECT``, ``ARRAY``, ``STRING``, ``NUMBER``, ``INTEGER``, ``BOOLEAN`` or ``NULL`` for a text that is
+    exactly one JSON value; otherwise NULL. The first character of a valid value tells its kind."""
+    def by_first(t: Column) -> Column:
+        first = F.substring(t, 1, 1)
+        return (
+            F.when(first == "{", "OBJECT").when(first == "[", "ARRAY").when(first == '"', "STRING")
+            .when(first.isin("t", "f"), "BOOLEAN").when(t == "null", "NULL")
+            .when(F.rlike(t, F.lit("^-?[0-9]+$")), "INTEGER").otherwise("NUMBER"))
+
+    values = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _STRICT)
+    return F.when(F.size(values) == 1, let(F.btrim(text, F.lit(" \t\r\n")), by_first))
 
 
 def member_kind(text: Column, name: str) -> Column:

@@ -54,9 +54,10 @@ def preview(text: Column, width: int) -> Column:
 
 # --- character references -------------------------------------------------------------------
 
-# Named references that web pages use most; none of the values contains an ampersand.
-_COMMON = ("lt", "gt", "quot", "nbsp", "copy", "reg", "middot", "mdash", "ndash", "hellip",
-           "lsquo", "rsquo", "ldquo", "rdquo", "bull", "eacute", "egrave", "euro", "trade")
+# Named references that web pages use most, and those they use often; no value has an ampersand.
+_FIRST = ("nbsp", "quot", "lt", "gt", "copy", "middot")
+_SECOND = ("reg", "mdash", "ndash", "hellip", "lsquo", "rsquo", "ldquo", "rdquo", "bull", "eacute",
+           "egrave", "euro", "trade")
 _NAMED = {name[:-1]: value for name, value in html5.items() if name.endswith(";")}
 _WITHOUT_SEMICOLON = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
 # Numbers 128..159 mean the windows-1252 characters; the standard library knows which.
@@ -112,14 +113,20 @@ def sql_decoded(value: str) -> str:
     Texts whose references are all common ones take a chain of plain replacements, ``&amp;`` last so
     that nothing is decoded twice; the rest is decoded reference by reference.
     """
-    common = "t"
-    for name in _COMMON:
-        common = f"replace({common}, '&{name};', {quoted(_NAMED[name])})"
+    def chain(text: str, names: tuple[str, ...]) -> str:
+        for name in names:
+            text = f"replace({text}, '&{name};', {quoted(_NAMED[name])})"
+        return text
+
+    def unless_settled(text: str, otherwise: str) -> str:
+        return f"""CASE WHEN contains(replace({text}, '&amp;', ''), '&') THEN {otherwise}
+          ELSE replace({text}, '&amp;', '&') END"""
+
     general = ("array_join(transform(split(t, '&', -1), "
                f"(p, i) -> CASE WHEN i = 0 THEN p ELSE {_decode_piece()} END), '')")
-    settled = bind(common, "c", f"""CASE WHEN contains(replace(c, '&amp;', ''), '&') THEN {general}
-      ELSE replace(c, '&amp;', '&') END""")
-    return bind(value, "t", f"CASE WHEN NOT contains(t, '&') THEN t ELSE {settled} END")
+    second = bind(chain("c", _SECOND), "d", unless_settled("d", general))
+    first = bind(chain("t", _FIRST), "c", unless_settled("c", second))
+    return bind(value, "t", f"CASE WHEN NOT contains(t, '&') THEN t ELSE {first} END")
 
 
 def decode_entities(text: Column) -> Column:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import let, settled
 from newsloom.functions.jsontext import member_kind, parse_one, value_kind
 from newsloom.functions.text import strip
 from newsloom.operators.quality import passes_gate
@@ -115,75 +116,83 @@ def decode_replies(responses: DataFrame, profile: Profile) -> DataFrame:
     return _decode_strict(responses) if profile.strict_reply else _decode_tolerant(responses)
 
 
+ENVELOPE = f"choices array<string>, {REPLY_FIELDS}"
+
+
+def _opened(responses: DataFrame) -> DataFrame:
+    """Each body parsed once: ``_envelope`` (NULL unless one JSON object), its first choice and text."""
+    rows = responses.withColumns({
+        "_kind_of_body": value_kind(F.col("body")),
+        "_envelope": parse_one(F.col("body"), ENVELOPE),
+    })
+    rows = rows.withColumn("_first", F.get("_envelope.choices", F.lit(0)))
+    return rows.withColumn("_text", F.get_json_object("_first", "$.message.content"))
+
+
 def _outcome(responses: DataFrame, kind: Column, reply: Column, message: Column) -> DataFrame:
-    return responses.withColumns({"_kind": kind, "_reply": reply, "_message": message}).select(
-        "seq", "attempt", F.col("_kind").alias("kind"),
-        *[F.when(F.col("_kind") == "ok", F.col("_reply")[k]).alias(k) for k in REPLY_KEYS],
-        F.when(F.col("_kind") == "error", F.col("_message")).alias("error_text"),
+    rows = settled(responses.select(
+        "seq", "attempt", kind.alias("kind"), reply.alias("_reply"), message.alias("_message")),
+        "kind", "_reply", "_message")
+    return rows.select(
+        "seq", "attempt", "kind",
+        *[F.when(F.col("kind") == "ok", F.col("_reply")[k]).alias(k) for k in REPLY_KEYS],
+        F.when(F.col("kind") == "error", F.col("_message")).alias("error_text"),
     )
 
 
 def _decode_tolerant(responses: DataFrame) -> DataFrame:
     """Nested or flat replies; the object is cut out of surrounding prose."""
-    body = F.col("body")
-    parsed = responses.withColumn("_envelope", value_kind(body))
-    choices = member_kind(body, "choices")
-    listed = F.coalesce(
-        F.startswith(choices, F.lit("ARRAY")) & (F.get_json_object(body, "$.choices[0]").isNotNull()),
-        F.lit(False))
-    text = F.get_json_object(body, "$.choices[0].message.content")
-    cut = F.regexp_extract(F.col("_text"), r"(?s)\{.*\}", 0)
-    rows = parsed.withColumns({"_listed": listed, "_text": text}).withColumn(
-        "_object", F.when(F.col("_listed"), F.when(cut != "", cut)).otherwise(body))
-    rows = rows.withColumn("_reply", parse_one(F.col("_object"), REPLY_FIELDS))
-    summary_kind = member_kind(F.col("_object"), "summary")
-    set_values = F.col("_reply.sentiment").isin(*SENTIMENTS) & F.col("_reply.relevant").isin(*RELEVANCE)
-    odd_summary = set_values & ~F.coalesce(summary_kind, F.lit("STRING")).isin("STRING", "VOID")
+    listed = F.col("_first").isNotNull()
+    braces = let(F.regexp_extract("_text", r"(?s)\{.*\}", 0), lambda cut: F.when(cut != "", cut))
+    rows = _opened(responses).withColumn("_object", F.when(listed, braces).otherwise(F.col("body")))
+    rows = rows.withColumn("_reply", F.when(listed, parse_one(F.col("_object"), REPLY_FIELDS)).otherwise(
+        F.struct(*[F.col(f"_envelope.{k}") for k in REPLY_KEYS])))
+    reply = F.col("_reply")
+    closed = reply["sentiment"].isin(*SENTIMENTS) & reply["relevant"].isin(*RELEVANCE)
+    text_summary = F.coalesce(member_kind(F.col("_object"), "summary"), F.lit("STRING")).isin("STRING", "VOID")
     kind = (
         F.when(F.col("status").isNull() | (F.col("status") >= 400), "next")
-        .when(F.coalesce(strip(body), F.lit("")) == "", "stop")
-        .when(F.col("_envelope").isNull(), "stop")
-        .when(F.col("_listed") & F.col("_text").isNull(), "stop")
-        .when(F.coalesce(odd_summary, F.lit(False)), "stop")
-        .when(valid_closed_sets(F.col("_reply")), "ok")
+        .when(F.coalesce(strip(F.col("body")), F.lit("")) == "", "stop")
+        .when(F.col("_kind_of_body").isNull(), "stop")
+        .when(listed & F.col("_text").isNull(), "stop")
+        .when(~F.coalesce(closed, F.lit(False)), "next")
+        .when(~text_summary, "stop")
+        .when(valid_closed_sets(reply), "ok")
         .otherwise("next")
     )
-    return _outcome(rows, kind, F.col("_reply"), F.lit(None).cast("string"))
+    return _outcome(rows, kind, reply, F.lit(None).cast("string"))
 
 
 def _decode_strict(responses: DataFrame) -> DataFrame:
     """The message must itself be a JSON object with the three keys."""
-    body = F.col("body")
-    rows = responses.withColumns({
-        "_envelope": value_kind(body),
-        "_choices": member_kind(body, "choices"),
-        "_first": F.get_json_object(body, "$.choices[0]"),
-        "_message_object": F.get_json_object(body, "$.choices[0].message"),
-        "_content_kind": F.schema_of_variant(F.try_variant_get(
-            F.try_parse_json(body), "$.choices[0].message.content", "variant")),
-        "_text": strip(F.get_json_object(body, "$.choices[0].message.content")),
+    rows = _opened(responses).withColumns({
+        "_message_object": F.get_json_object("_first", "$.message"),
+        "_text": strip(F.col("_text")),
     })
     rows = rows.withColumns({
         "_reply": parse_one(F.col("_text"), REPLY_FIELDS),
         "_kind_of_text": value_kind(F.col("_text")),
     })
+
+    def has_key(document: Column, key: str) -> Column:
+        return F.coalesce(F.array_contains(F.json_object_keys(document), key), F.lit(False))
+
     # The messages of the errors a malformed envelope raises.
     message = (
-        F.when(F.col("_choices").isNull(), "'choices'")
+        F.when(~has_key(F.col("body"), "choices"), "'choices'")
         .when(F.col("_first").isNull(), "list index out of range")
         .when(F.col("_message_object").isNull(), "'message'")
-        .when(F.col("_content_kind").isNull(), "'content'")
-        .when(F.col("_content_kind") == "VOID", "'NoneType' object has no attribute 'strip'")
-        .when(F.col("_kind_of_text") == "VOID", "argument of type 'NoneType' is not iterable")
+        .when(~has_key(F.col("_message_object"), "content"), "'content'")
+        .when(F.col("_text").isNull(), "'NoneType' object has no attribute 'strip'")
+        .when(F.col("_kind_of_text") == "NULL", "argument of type 'NoneType' is not iterable")
         .when(F.col("_kind_of_text") == "BOOLEAN", "argument of type 'bool' is not iterable")
-        .when(F.col("_kind_of_text") == "BIGINT", "argument of type 'int' is not iterable")
-        .when(F.col("_kind_of_text").rlike("^(DECIMAL|DOUBLE|FLOAT)"),
-              "argument of type 'float' is not iterable")
+        .when(F.col("_kind_of_text") == "INTEGER", "argument of type 'int' is not iterable")
+        .when(F.col("_kind_of_text") == "NUMBER", "argument of type 'float' is not iterable")
     )
     rows = rows.withColumn("_problem", message)
     kind = (
         F.when(F.col("status").isNull() | (F.col("status") != 200), "next")
-        .when(F.col("_envelope").isNull(), "next")
+        .when(F.col("_kind_of_body").isNull(), "next")
         .when(F.col("_problem").isNotNull(), "error")
         .when(F.col("_reply").isNotNull() & has_reply_keys(F.col("_text")), "ok")
         .otherwise("stop")
@@ -196,10 +205,10 @@ def fold_attempts(decoded: DataFrame, max_attempts: int) -> DataFrame:
 
     ``outcome`` is ``ok``, ``stop`` or ``error``; articles whose attempts all say ``next`` are absent.
     """
-    settled = decoded.filter((F.col("attempt") <= max_attempts) & (F.col("kind") != "next"))
+    final = decoded.filter((F.col("attempt") <= max_attempts) & (F.col("kind") != "next"))
     rest = [c for c in decoded.columns if c != "seq"]
     return (
-        settled.groupBy("seq")
+        final.groupBy("seq")
         .agg(F.min_by(F.struct(*rest), F.col("attempt")).alias("_o"))
         .select("seq", F.col("_o.kind").alias("outcome"),
                 *[F.col(f"_o.{k}").alias(f"reply_{k}") for k in REPLY_KEYS],

@@ -124,10 +124,8 @@ def title_main(page: Column) -> Column:
 def content_main(page: Column) -> Column:
     """Main text without navigation, header, footer and side parts, one line per text node."""
     place = F.coalesce(H.element(page, "article"), H.element(page, "body"), page)
-    trimmed = place
-    for part in ("nav", "footer", "aside", "header"):
-        trimmed = F.regexp_replace(
-            trimmed, rf"(?is)<{part}(?=[\s>])[^>]*>.*?(?:</{part}\s*>|\z)", "<!>")
+    trimmed = F.regexp_replace(
+        place, r"(?is)<(nav|footer|aside|header)(?=[\s>])[^>]*>.*?(?:</\1\s*>|\z)", "<!>")
     return or_empty(H.node_text(trimmed, "\n"))
 
 

@@ -10,7 +10,7 @@ from newsloom.plans import process as P
 from newsloom.profiles import PROFILE_A, PROFILE_B
 from newsloom.registry import views as V
 from newsloom.registry.base import Registry
-from newsloom.session import scratch_path
+from newsloom.session import scratch_path, shared_folder
 from newsloom.sources import articles as A
 from newsloom.sources.tables import ArticleStore
 from newsloom.streaming.incremental import ingest, raw_stream
@@ -25,7 +25,10 @@ STORE = f"""{PROCESSED}, store AS (SELECT *, try_cast(nullif(date, '') AS DATE)
 
 
 def processed(spark, folder, profile=PROFILE_A):
-    return P.process(V.articles(spark, folder), V.responses(spark, folder), profile, V.KEYWORDS)
+    """Processed articles, written down once: the queries below read them several times."""
+    shared_folder(spark)
+    return P.process(
+        V.articles(spark, folder), V.responses(spark, folder), profile, V.KEYWORDS).checkpoint()
 
 
 def tables(spark, folder):

@@ -30,8 +30,8 @@ def test_unclosed_element_runs_to_the_end(spark):
 
 def test_node_text_strips_each_node(spark):
     page = "<p> a <b>b&nbsp;</b><!-- no --> c  d</p><script>x</script>\n<p></p>e"
-    assert value(spark, page, lambda c: H.node_text(c, " ")) == "a b c  d e"
-    assert value(spark, page, lambda c: H.node_text(c, "")) == "abc  de"
+    assert value(spark, page, lambda c: H.node_text(H.without_noise(c), " ")) == "a b c  d e"
+    assert value(spark, page, lambda c: H.node_text(H.without_noise(c), "")) == "abc  de"
 
 
 def test_tags_with_quoted_angle_brackets(spark):
