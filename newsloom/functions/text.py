@@ -103,7 +103,8 @@ def _decode_piece() -> str:
         return f"WHEN rlike(p, {pattern}) THEN concat({character}, regexp_replace(p, {pattern}, ''))"
 
     legacy = {name: html5[name] for name in _WITHOUT_SEMICOLON}
-    return f"""CASE {numeric(decimal, 10)} {numeric(hexadecimal, 16)}
+    return f"""CASE WHEN startswith(p, 'amp;') THEN concat('&', substr(p, 5))
+      {numeric(decimal, 10)} {numeric(hexadecimal, 16)}
       ELSE coalesce({named(full, _NAMED)}, {named(bare, legacy)}, concat('&', p)) END"""
 
 

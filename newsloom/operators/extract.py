@@ -26,12 +26,23 @@ LONG_ENOUGH = 200
 
 
 def _meta(page: Column, key: str, value: str) -> Column:
-    tag = H.first_tag(page, "meta", rf"""\b{key}\s*=\s*["']?{value}(?=["'\s/>])""")
-    return H.attribute(tag, "content")
+    """The first meta tag of that name, '' if there is none."""
+    return H.first_tag(page, "meta", rf"""\b{key}\s*=\s*["']?{value}(?=["'\s/>])""")
 
 
-def _first_filled(*values: Column) -> Column:
-    return F.coalesce(*[let(v, lambda x: F.when(x != "", x)) for v in values], F.lit(""))
+def _contents(*metas: Column) -> Column:
+    return F.transform(F.array(*metas), lambda tag: H.attribute(tag, "content"))
+
+
+def _texts(*elements: Column) -> Column:
+    """Rendered texts of some elements; one function over an array keeps the plan small."""
+    return F.transform(F.array(*elements), H.inner_text)
+
+
+def _first_filled(*lists: Column) -> Column:
+    """The first value of the lists that is there and not empty."""
+    filled = F.filter(F.concat(*lists), lambda v: v != "")
+    return F.coalesce(F.get(filled, F.lit(0)), F.lit(""))
 
 
 def _page(html: Column) -> Column:
@@ -48,9 +59,9 @@ def headline_fallback(page: Column) -> Column:
 
 
 def headline_rendered(page: Column) -> Column:
-    headings = [or_empty(H.inner_text(H.element(page, h))) for h in ("h1", "h2", "h3")]
     return _first_filled(
-        *headings, _meta(page, "property", "og:title"), _meta(page, "name", "twitter:title"))
+        _texts(*[H.element(page, h) for h in ("h1", "h2", "h3")]),
+        _contents(_meta(page, "property", "og:title"), _meta(page, "name", "twitter:title")))
 
 
 def headline_listing(page: Column) -> Column:
@@ -68,8 +79,7 @@ def content_fallback(page: Column) -> Column:
 def content_rendered(page: Column) -> Column:
     """The first place with more than 200 characters, otherwise the last place that exists. The other
     places are looked at only if the first one is too short."""
-    first, *others = (
-        H.inner_text(H.element(page, name, condition)) for name, condition in CONTENT_PLACES)
+    first, *others = (H.element(page, name, condition) for name, condition in CONTENT_PLACES)
 
     def choose(every: Column) -> Column:
         return F.coalesce(
@@ -77,8 +87,8 @@ def content_rendered(page: Column) -> Column:
             F.try_element_at(F.array_compact(every), F.lit(-1)),
             F.lit(""))
 
-    return let(first, lambda text: F.when(F.length(text) > LONG_ENOUGH, text).otherwise(
-        let(F.array(text, *others), choose)))
+    return let(H.inner_text(first), lambda text: F.when(F.length(text) > LONG_ENOUGH, text).otherwise(
+        let(F.concat(F.array(text), _texts(*others)), choose)))
 
 
 def content_listing(page: Column) -> Column:
@@ -99,26 +109,23 @@ def date_fallback(page: Column) -> Column:
 
 def date_rendered(page: Column) -> Column:
     return _first_filled(
-        _meta(page, "property", "article:published_time"),
-        _meta(page, "name", "datePublished"),
-        _meta(page, "name", "pubdate"),
-        H.inner_text(H.element(page, "time")),
-        H.inner_text(H.element(page, "span", H.class_contains("date"))),
-    )
+        _contents(
+            _meta(page, "property", "article:published_time"),
+            _meta(page, "name", "datePublished"),
+            _meta(page, "name", "pubdate")),
+        _texts(H.element(page, "time"), H.element(page, "span", H.class_contains("date"))))
 
 
 def date_listing(page: Column, card_date: Column) -> Column:
     """The card's date, else the date in the article or podcast header, brought to one format."""
-    header = F.coalesce(
-        H.inner_text(H.element(page, "span", H.class_token("articleHeader-date"))),
-        H.inner_text(H.element(page, "span", H.class_token("podcastHeader-date"))),
-        F.lit(""))
+    spans = (H.element(page, "span", H.class_token(t)) for t in ("articleHeader-date", "podcastHeader-date"))
+    header = F.coalesce(F.get(F.array_compact(_texts(*spans)), F.lit(0)), F.lit(""))
     return F.when(or_empty(card_date) != "", card_date).otherwise(D.card_date(header))
 
 
 def title_main(page: Column) -> Column:
-    heading = H.element(page, "h1")
-    return _first_filled(H.node_text(heading, ""), H.node_text(H.element(page, "title"), ""))
+    return _first_filled(F.transform(
+        F.array(H.element(page, "h1"), H.element(page, "title")), lambda e: H.node_text(e, "")))
 
 
 def content_main(page: Column) -> Column:

@@ -1,4 +1,9 @@
-"""From requested sites and stored pages to usable articles and crawl statistics."""
+"""From requested sites and stored pages to usable articles and crawl statistics.
+
+The extractors run one after the other, as each is only needed for what the previous ones left open:
+only links of sites that are still short are followed. What an extractor contributed is bounded by the
+quotas and is checkpointed, so the next step reads it instead of extracting again.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import crawl as C
 from newsloom.operators import extract as X
 from newsloom.operators import links as L
+from newsloom.session import shared_folder
 
 
 def site_pages(sites: DataFrame, pages: DataFrame) -> DataFrame:
@@ -16,6 +22,12 @@ def site_pages(sites: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").join(wanted, "url", "left_semi")
 
 
+def stored_links(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """Links whose page is stored; reads no HTML."""
+    known = pages.select(F.col("url").alias("article_url"))
+    return links.join(known, "article_url", "left_semi").select("source_url", "article_url", "pos")
+
+
 def linked_pages(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Stored pages behind links, with the site and the position of the link.
 
@@ -26,19 +38,47 @@ def linked_pages(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.join(target, "article_url").withColumnRenamed("article_url", "url")
 
 
-def extracted_articles(
-    sites: DataFrame, pages: DataFrame, rendered: DataFrame | None = None,
-) -> dict[str, DataFrame]:
-    """Article records of each extractor; ``rendered`` are pages saved from a browser."""
-    shown = pages if rendered is None else rendered
-    home, home_shown = site_pages(sites, pages), site_pages(sites, shown)
-    return {
-        "main": X.extract_main(linked_pages(L.static_links(home), pages)),
-        "fallback": X.extract_fallback(linked_pages(L.fallback_links(home), pages)),
-        "rendered": X.extract_rendered(linked_pages(L.rendered_links(home_shown), shown)),
-    }
+def main_articles(sites: DataFrame, pages: DataFrame, bound: int | None = None) -> DataFrame:
+    """First extractor: the read-ahead is cut on links, before any page is fetched."""
+    links = stored_links(L.static_links(site_pages(sites, pages)), pages)
+    return X.extract_main(linked_pages(C.read_ahead(links, sites, bound), pages))
+
+
+def fallback_articles(sites: DataFrame, pages: DataFrame) -> DataFrame:
+    return X.extract_fallback(linked_pages(L.fallback_links(site_pages(sites, pages)), pages))
+
+
+def rendered_articles(sites: DataFrame, rendered: DataFrame) -> DataFrame:
+    return X.extract_rendered(linked_pages(L.rendered_links(site_pages(sites, rendered)), rendered))
+
+
+def still_short(sites: DataFrame, found: DataFrame) -> DataFrame:
+    """Sites that need more articles, with the number they lack."""
+    counts = found.groupBy("source_url").agg(F.count(F.lit(1)).alias("_found"))
+    wanted = sites.groupBy("source_url").agg(F.sum("quota").alias("quota"))
+    missing = F.col("quota") - F.coalesce(F.col("_found"), F.lit(0))
+    return wanted.join(counts, "source_url", "left").select(
+        "source_url", missing.cast("int").alias("quota")).filter(F.col("quota") > 0)
 
 
 def crawl(sites: DataFrame, pages: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
-    """Usable articles of every site up to its quota, with the ``method`` that found them."""
-    return C.cascade(extracted_articles(sites, pages, rendered), sites)
+    """Usable articles of every site up to its quota, with the ``method`` that found them.
+
+    ``rendered`` are pages saved from a browser; without them the third extractor reads the same pages.
+    """
+    shared_folder(sites.sparkSession)
+    bound = C.largest_quota(sites)
+    shown = pages if rendered is None else rendered
+    steps = (
+        lambda short: main_articles(short, pages, bound),
+        lambda short: fallback_articles(short, pages),
+        lambda short: rendered_articles(short, shown),
+    )
+    found = None
+    for priority, (method, step) in enumerate(zip(C.METHODS, steps, strict=True)):
+        short = sites if found is None else still_short(sites, found)
+        events = C.only_usable(step(short)).withColumns(
+            {"method": F.lit(method), "priority": F.lit(priority)})
+        taken = C.fill_quota(events, short, bound).checkpoint()
+        found = taken if found is None else found.unionByName(taken)
+    return found

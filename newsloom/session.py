@@ -13,6 +13,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the Python call site of every column costs more than planning a big expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

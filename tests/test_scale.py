@@ -142,3 +142,21 @@ def test_usable_filter_does_not_repeat_extraction(spark, small):
     frame = X.extract_fallback(V.table(spark, small, "pages")).groupBy("source_url").count()
     filters = [line for line in plan(frame).splitlines() if "Filter" in line and "Generate" not in line]
     assert all("regexp_replace" not in line for line in filters)
+
+
+def test_crawl_follows_links_until_quotas_are_met(spark):
+    from newsloom.plans.crawl import crawl
+
+    long = "<h1>H</h1><article>" + "word " * 60 + "</article>"
+    home_a = "".join(f'<a href="/news/{i}">x</a>' for i in range(6)) + "".join(
+        f'<a href="https://a.com/p{i}">x</a>' for i in range(4))
+    rows = [("https://a.com/", home_a), ("https://b.com/", '<a class="article-links" href="/q">x</a>')]
+    # Read-ahead is 3 x 2 stored links; only the first of them is usable.
+    rows += [(f"https://a.com/news/{i}", long if i == 0 else "<h1>H</h1><article>short</article>") for i in range(6)]
+    rows += [("https://a.com/p1", long), ("https://a.com/p3", long), ("https://b.com/q", long)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    sites = spark.createDataFrame([("https://a.com/", 2), ("https://b.com/", 2), ("https://c.com/", 1)],
+                                  "source_url string, quota int")
+    got = sorted((r.source_url, r.method, r.article_url) for r in crawl(sites, pages).collect())
+    assert got == [("https://a.com/", "fallback", "https://a.com/p1"), ("https://a.com/", "main", "https://a.com/news/0"),
+                   ("https://b.com/", "rendered", "https://b.com/q")]
