@@ -16,12 +16,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def latest_snapshots(pages: DataFrame) -> DataFrame:
     """One snapshot per key, the last one by ``seq``.
 
-    Winners are chosen on ``url`` and ``seq`` alone, so the first pass does not read any HTML, and the
-    pages are then matched on the unique ``seq``.
+    Winners are chosen on ``url`` and ``seq`` alone, so the first pass does not read any HTML. The
+    pages are then matched on the unique ``seq``; only winning numbers are held in the hash table, and
+    the pages, which are big, need not be sorted.
     """
-    keys = pages.select(snapshot_key(F.col("url")).alias("snapshot_key"), "seq")
-    last = keys.groupBy("snapshot_key").agg(F.max("seq").alias("seq"))
-    return pages.join(last.hint("shuffle_hash"), "seq").select("snapshot_key", "seq", "url", "html")
+    key = snapshot_key(F.col("url"))
+    last = pages.select(key.alias("snapshot_key"), "seq").groupBy("snapshot_key").agg(F.max("seq").alias("seq"))
+    winners = last.select("seq").hint("shuffle_hash")
+    return pages.join(winners, "seq", "left_semi").select(key.alias("snapshot_key"), "seq", "url", "html")
 
 
 def write_snapshots(pages: DataFrame, path: str) -> None:
