@@ -11,6 +11,7 @@ from newsloom.session import scratch_path
 
 # Fixed value: a word is a run of anything but ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 # Stands for a missing identifier where identifiers are compared; sorts below all others.
 NO_ID = -(2 ** 63)
 
@@ -35,3 +36,12 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 
 def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def bounded_batches(frame: DataFrame) -> DataFrame:
+    """``frame`` after limiting Arrow batches of its session by bytes, so that long texts do not pile up in a
+    Python worker. A limit that the session already has is left alone."""
+    conf = frame.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) is None:
+        conf.set(BATCH_BYTES, str(16 << 20))
+    return frame

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from newsloom.llm import exact_dedup, mixing, url_filter
+from newsloom.llm import byte_bpe, exact_dedup, mixing, token_counts, url_filter
 from newsloom.llm.common import table
 from newsloom.registry.base import Registry
 
@@ -39,6 +40,21 @@ def op2_url_filter(spark, folder):
     return url_filter.filter_pages(table(spark, folder, "pages"), url_filter.rule_table(spark))
 
 
+@add("op4_byte_bpe")
+def op4_byte_bpe(spark, folder):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = byte_bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2(byte_bpe.decoded("ids", path), 256).alias("decoded_sha256"))
+
+
+@add("op5_token_counts")
+def op5_token_counts(spark, folder):
+    return token_counts.count_tokens(
+        table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 MIXING_SQL = r"""WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     ('0x' || substr(md5('mix' || coalesce(':' || doc_id, '')), 1, 13))::BIGINT AS draw FROM documents),
