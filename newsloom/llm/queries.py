@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from newsloom.llm import byte_bpe, exact_dedup, mixing, token_counts, url_filter
+from newsloom.llm import byte_bpe, exact_dedup, mixing, simhash, token_counts, url_filter
 from newsloom.llm.common import table
 from newsloom.registry.base import Registry
 
@@ -87,3 +87,10 @@ FROM prefix LEFT JOIN closing c USING (doc_id)"""
 @add("op6_source_mixing", MIXING_SQL)
 def op6_source_mixing(spark, folder):
     return mixing.mix(table(spark, folder, "documents"))
+
+
+@add("op7_simhash")
+def op7_simhash(spark, folder):
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
