@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import NO_ID, ascii_lower, or_blank, written
 from newsloom.session import scratch_path
 
+STORES = "spark.sql.streaming.internal.stateStore.partitions"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Bits of the filter of digests that were hit; with 24 it is a table of 512 rows and 2 MB at any size.
@@ -29,15 +30,29 @@ def sha256(content: Column) -> Column:
     return F.unhex(F.sha2(content, 256))
 
 
+def _ident(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("ident")
+
+
+def _normal(text_col: str) -> Column:
+    return ascii_lower(or_blank(F.col(text_col)))
+
+
 def contents(docs: DataFrame, id_col: str, text_col: str, digest) -> DataFrame:
-    normal = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("ident"),
-        ascii_lower(or_blank(F.col(text_col))).alias("content"))
-    return normal.withColumn("digest", digest(F.col("content")))
+    """``ident, content, digest`` of each row. The generator keeps Spark from repeating the digest of a whole
+    text in every later expression and filter that mentions it."""
+    both = F.transform(F.array(_normal(text_col)), lambda c: F.struct(
+        c.alias("content"), digest(c).alias("digest")))
+    return docs.select(_ident(id_col), F.inline(both))
+
 
+def keyed_state(spark, arrivals: str, schema, files_per_batch: int | None = None,
+                stores: int | None = None) -> DataFrame:
+    """Run the stream over the landed arrivals and read its state: one row per digest.
 
-def keyed_state(spark, arrivals: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    """Run the stream over the landed arrivals and read its state: one row per digest."""
+    ``stores`` is the number of state stores, by default two for each core. Every store keeps some files of
+    a fixed size on disk, so their number follows the machines and not the shuffle partitions.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -45,13 +60,16 @@ def keyed_state(spark, arrivals: str, schema, files_per_batch: int | None = None
         F.max("ident").alias("ident"), F.max_by("seq", "ident").alias("locator"),
         F.count(F.lit(1)).alias("copies"))
     checkpoint = scratch_path(spark, "dedup-state")
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS_DB)
+    wanted = {PROVIDER: ROCKS_DB, STORES: str(stores or 2 * spark.sparkContext.defaultParallelism)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         query = entries.writeStream.outputMode("update").format("noop").option(
             "checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     query.awaitTermination()
     if not (query.lastProgress or {}).get("stateOperators"):
         return spark.createDataFrame([], "digest binary, ident long, locator long, copies long")
@@ -102,7 +120,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     rows = contents(docs, id_col, text_col, digest)
     landed = scratch_path(spark, "dedup-arrivals")
-    narrow = rows.select("ident", "digest", F.monotonically_increasing_id().alias("seq"))
+    narrow = docs.select(
+        _ident(id_col), digest(_normal(text_col)).alias("digest"), F.monotonically_increasing_id().alias("seq"))
     narrow.write.parquet(landed)
     arrivals = spark.read.schema(narrow.schema).parquet(landed)
     hits = written(
