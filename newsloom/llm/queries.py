@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from newsloom.llm import byte_bpe, exact_dedup, mixing, simhash, token_counts, url_filter
+from newsloom.llm import ann, byte_bpe, exact_dedup, mixing, simhash, token_counts, url_filter
 from newsloom.llm.common import table
 from newsloom.registry.base import Registry
 
@@ -94,3 +94,8 @@ def op7_simhash(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@add("op8_permutation_index")
+def op8_permutation_index(spark, folder):
+    return ann.nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
