@@ -30,6 +30,8 @@ LEAST = 256
 # crowd of almost equal vectors the orders alone do not tell who is nearest.
 CROWD = 0.75
 NEAREST = 5
+OFFERED = 4
+VERY_NEAR = 0.9
 INDEX_BLOCK = 8192
 QUERY_BLOCK = 1024
 
@@ -58,13 +60,21 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def choose_pivots(rows: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """Up to ``count`` pivots for each number of dimensions, those of the smallest hash."""
-    sizes = [r[0] for r in rows.select(F.size("vector")).distinct().limit(count).collect()]
+def choose_pivots(entries: DataFrame, count: int) -> dict[int, np.ndarray]:
+    """Up to ``count`` pivots for each number of dimensions, from a sample of OFFERED times as many entries, those
+    of the smallest hash. Almost equal pivots would take each other's places in every order, so a pivot that
+    is very near an earlier one is passed over while there are others."""
+    sizes = [r[0] for r in entries.select(F.size("vector")).distinct().limit(count).collect()]
     found = {}
     for size in sizes:
-        sample = rows.filter(F.size("vector") == size).orderBy(F.xxhash64("vector"), "entry").limit(count)
-        found[size] = _unit(np.array([r["vector"] for r in sample.select("vector").collect()]))
+        sample = entries.filter(F.size("vector") == size).orderBy(F.xxhash64("vector"), "entry").limit(OFFERED * count)
+        offered = _unit(np.array([r["vector"] for r in sample.select("vector").collect()]))
+        apart: list[int] = []
+        for i in range(len(offered)):
+            if len(apart) < count and not (offered[apart] @ offered[i] > VERY_NEAR).any():
+                apart.append(i)
+        rest = [i for i in range(len(offered)) if i not in set(apart)]
+        found[size] = offered[(apart + rest)[:count]]
     return found
 
 
