@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import base64
 import collections
+import itertools
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +27,16 @@ from pyspark.sql import functions as F
 from newsloom.functions.binding import bind, quoted
 from newsloom.llm.common import bounded_batches, or_blank, written
 from newsloom.llm.merging import MergeTable, merge_all
+from newsloom.llm.pretokens import blocks, chunks, finder
 
 # Buckets of the literal map: a map is searched entry by entry, so each bucket holds about one.
 BUCKETS = 1 << 16
 # Pre-tokens that are broadcast with their ids, and the longest text of one in bytes.
 FREQUENT = 1 << 20
 LONG = 256
-# Distinct pre-tokens that a task gathers before it hands on their counts.
-GATHERED = 1 << 17
+# Distinct chunks that a task gathers before it hands on counts, and that a worker remembers.
+GATHERED = 1 << 18
+REMEMBERED = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -102,21 +105,25 @@ def _long_words(path: str) -> LongWords:
 
 
 def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
-    """``word, n`` of all pre-tokens of at most LONG bytes. Tasks hand on counts whenever they hold GATHERED words."""
+    """``word, n`` of all pre-tokens of at most LONG bytes. Tasks hand on counts whenever they hold GATHERED chunks."""
     def run(batches) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        counts: collections.Counter = collections.Counter()
+        find = finder(pattern)
+        met: collections.Counter = collections.Counter()
 
         def emptied():
+            counts: collections.Counter = collections.Counter()
+            for chunk, n in met.items():
+                for word in find(chunk):
+                    counts[word] += n
+            met.clear()
             kept = [(w, n) for w, n in counts.items() if len(w) <= LONG and len(w.encode()) <= LONG]
-            counts.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                counts.update(find(text))
-                if len(counts) > GATHERED:
+                met.update(chunks(text))
+                if len(met) > GATHERED:
                     yield emptied()
         yield emptied()
 
@@ -136,63 +143,113 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return levelled.filter(F.lit(False) if lowest is None else F.col("level") >= lowest).select("word")
 
 
-def frequent_words(texts: DataFrame, pattern: str, ranks: str) -> dict[str, str]:
-    """The most frequent pre-tokens with their ids, comma-separated; their number and length are bounded by
-    FREQUENT and LONG."""
+def frequent_words(texts: DataFrame, pattern: str, ranks: str) -> bytes:
+    """The most frequent pre-tokens with their ids, in Arrow's format; their number and length are bounded
+    by FREQUENT and LONG."""
     top = most_frequent(written(word_counts(texts, pattern), "bpe-words"), FREQUENT)
     spread = top.repartition(max(1, 2 * texts.sparkSession.sparkContext.defaultParallelism))
-    ids = spread.select("word", latin(F.col("word")).alias("w")).select(
-        "word", F.expr(f"array_join({folded('w', ranks)}, ',')").alias("ids"))
+    ids = spread.select("word", latin(F.col("word")).alias("w")).select("word", F.expr(folded("w", ranks)).alias("ids"))
     words = written(ids, "bpe-ids").toArrow()
-    return dict(zip(words.column("word").to_pylist(), words.column("ids").to_pylist(), strict=True))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, words.schema) as writer:
+        writer.write_table(words)
+    return sink.getvalue().to_pybytes()
+
+
+class Encoder:
+    """Ids of texts as far as they are known. One per worker process, for as long as its broadcast lives."""
+
+    def __init__(self, known: bytes, path: str, pattern: str) -> None:
+        words = pa.ipc.open_stream(known).read_all().combine_chunks()
+        self.row = {w: i for i, w in enumerate(words.column("word").to_pylist())}
+        ids = words.column("ids").combine_chunks() if len(words) else None
+        self.ids = np.empty(0, np.int32) if ids is None else ids.flatten().to_numpy(zero_copy_only=False)
+        self.start = np.zeros(1, np.int64) if ids is None else np.concatenate(
+            ([0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))))
+        self.find, self.path = finder(pattern), path
+        self.chunk: dict[str, list[int]] = {}
+        self.open_words: list[str] = []
+
+    def _ids(self, word: str) -> list[int]:
+        if (row := self.row.get(word)) is not None:
+            return self.ids[self.start[row]:self.start[row + 1]].tolist()
+        if len(raw := word.encode()) > LONG:
+            return _long_words(self.path).encode(raw)
+        self.open_words.append(word)
+        return [-len(self.open_words)]
+
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts together, and where each text ends; a number -k stands for the k-th open word."""
+        if len(self.chunk) > REMEMBERED:
+            self.chunk.clear()
+            self.open_words.clear()
+        flat: list[int] = []
+        ends = []
+        for block in blocks(texts):
+            cut = [chunks(t) for t in block]
+            for new in set().union(*cut) - self.chunk.keys():
+                self.chunk[new] = [i for word in self.find(new) for i in self._ids(word)]
+            for parts in cut:
+                flat.extend(itertools.chain.from_iterable(map(self.chunk.__getitem__, parts)))
+                ends.append(len(flat))
+        return np.array(flat, np.int32), np.array(ends, np.int64)
+
+    def parts(self, texts: list[str]) -> pa.ListArray:
+        """Per text its parts: known ids, then a word that is still open; the last part has none."""
+        flat, ends = self.texts(texts)
+        is_open = flat < 0
+        at = np.flatnonzero(is_open)
+        # An open word ends a part where it stands, a text ends one before the next text's first id.
+        order = np.argsort(np.concatenate((at, ends - 0.5)), kind="stable")
+        known = np.concatenate(([0], np.cumsum(~is_open)))
+        stops = np.concatenate((known[at], known[ends]))[order]
+        words = np.empty(len(order), object)
+        words[:len(at)] = [self.open_words[-i - 1] for i in flat[at]]
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.concatenate(([0], stops)), pa.int32()), pa.array(flat[~is_open], pa.int32()))
+        parts = pa.StructArray.from_arrays([lists, pa.array(words[order], pa.string())], ["ids", "word"])
+        counts = np.searchsorted(at, ends) + np.arange(1, len(ends) + 1)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], counts)), pa.int32()), parts)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(name: str, known, path: str, pattern: str) -> Encoder:
+    """The worker's encoder for this run; one of an earlier run is let go."""
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = Encoder(known.value, path, pattern)
+    return _ENCODERS[name]
 
 
 def _segments(texts: DataFrame, path: str, pattern: str, known) -> DataFrame:
-    """Each text as segments: ids of a run of known pre-tokens, then one pre-token still to be encoded."""
+    """``doc_id, parts``: known ids and words still to be encoded, in the order of the text."""
+    name = uuid.uuid4().hex
+
     def run(batches) -> Iterator[pa.RecordBatch]:
-        find, table = regex.compile(pattern).findall, known.value
+        encoder = _encoder(name, known, path, pattern)
         for batch in batches:
-            ids: list[str] = []
-            words: list[str | None] = []
-            offsets = [0]
-            for text in batch.column("text").to_pylist():
-                run_ids: list[str] = []
-                for word in find(text):
-                    stored = table.get(word)
-                    if stored is None and len(raw := word.encode()) > LONG:
-                        stored = ",".join(map(str, _long_words(path).encode(raw)))
-                    if stored is None:
-                        ids.append(",".join(run_ids))
-                        words.append(word)
-                        run_ids = []
-                    else:
-                        run_ids.append(stored)
-                if run_ids:
-                    ids.append(",".join(run_ids))
-                    words.append(None)
-                offsets.append(len(ids))
-            parts = pa.StructArray.from_arrays([pa.array(ids, pa.string()), pa.array(words, pa.string())], ["ids", "word"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts)], ["doc_id", "parts"])
+                [batch.column("doc_id"), encoder.parts(batch.column("text").to_pylist())], ["doc_id", "parts"])
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {id_type}, parts array<struct<ids string, word string>>")
+    return texts.mapInArrow(run, f"doc_id {id_type}, parts array<struct<ids array<int>, word string>>")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` of every row: the ids of the whole text as ``array<int>``.
 
-    Null and empty texts have no ids. Rows with equal identifiers are encoded one by one; a null identifier
-    stays null. Special strings are ordinary text. An empty table gives an empty result.
+    ``path`` is a file of ranks, readable on every executor. Null and empty texts have no ids. Rows with
+    equal identifiers are encoded one by one; a null identifier stays null. Special strings are ordinary
+    text. An empty table gives an empty result.
     """
     ranks = rank_literal(read_ranks(path))
     texts = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), or_blank(F.col(text_col)).alias("text"))
     known = docs.sparkSession.sparkContext.broadcast(frequent_words(texts, pattern, ranks))
-    part = "concat_ws(',', nullif(p.ids, ''), if(p.word is null, null, array_join({}, ',')))".format(
-        folded("decode(encode(p.word, 'utf-8'), 'iso-8859-1')", "ranks_"))
-    joined = bind(ranks, "ranks_", f"array_join(transform(parts, p -> {part}), ',')")
-    return _segments(texts, path, pattern, known).select("doc_id", F.expr(joined).alias("_ids")).select(
-        "doc_id", F.expr("if(_ids = '', array(), split(_ids, ','))").cast("array<int>").alias("ids"))
+    rest = folded("decode(encode(p.word, 'utf-8'), 'iso-8859-1')", "rank_table")
+    joined = bind(ranks, "rank_table", f"flatten(transform(parts, p -> if(p.word is null, p.ids, concat(p.ids, {rest}))))")
+    return _segments(texts, path, pattern, known).select("doc_id", F.expr(joined).alias("ids"))
 
 
 def piece_literal(ranks: dict[bytes, int]) -> str:

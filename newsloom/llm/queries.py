@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann, byte_bpe, exact_dedup, mixing, simhash, token_counts, url_filter
+from newsloom.llm import ann, byte_bpe, exact_dedup, language, mixing, simhash, token_counts, url_filter
 from newsloom.llm.common import table
 from newsloom.registry.base import Registry
 
@@ -99,3 +99,10 @@ def op7_simhash(spark, folder):
 @add("op8_permutation_index")
 def op8_permutation_index(spark, folder):
     return ann.nearest_neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@add("op9_language")
+def op9_language(spark, folder):
+    found = language.identify(table(spark, folder, "documents"), language.remainder("doc_id", 4) != 2)
+    held_out = F.coalesce(language.remainder("doc_id", 4) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -11,7 +11,6 @@ Scale: one pass over the table, no shuffle. A task holds one Arrow batch of rows
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import bounded_batches, or_blank
 from newsloom.llm.merging import MergeTable, merge_all
+from newsloom.llm.pretokens import blocks, chunks, finder
 
-BLOCK_CHARS = 1 << 20
 REMEMBERED = 1 << 19
 LIMIT = 512
 
@@ -47,46 +46,36 @@ class Counter:
             [vocab[a] for a, _ in pairs], [vocab[b] for _, b in pairs], range(len(pairs)),
             [vocab[a + b] for a, b in pairs])
         self.byte_ids = np.array([vocab[c] for _, c in sorted(byte_symbols().items())], np.int64)
-        self.pattern = regex.compile(pattern)
+        self.find = finder(pattern)
         added = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.known: dict[str, int] = {}
 
-    def _pieces(self, text: str) -> tuple[list[str], int]:
-        """Pre-tokens of the text around added strings, and the number of those."""
+    def _chunks(self, text: str) -> tuple[list[str], int]:
+        """Chunks of the text around added strings, and the number of those."""
         if self.added is None or not self.added.search(text):
-            return self.pattern.findall(text), 0
+            return chunks(text), 0
         parts = self.added.split(text)
-        return [p for part in parts for p in self.pattern.findall(part)], len(parts) - 1
+        return [c for part in parts for c in chunks(part)], len(parts) - 1
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
+    def _learn(self, new: set[str]) -> None:
+        if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-        symbols = [self.byte_ids[np.frombuffer(w.encode("utf-8", "surrogatepass"), np.uint8)] for w in words]
-        self.known.update(zip(words, map(len, merge_all(symbols, self.table)), strict=True))
+        words = {c: self.find(c) for c in new}
+        distinct = list(set().union(*words.values()))
+        symbols = [self.byte_ids[np.frombuffer(w.encode("utf-8", "surrogatepass"), np.uint8)] for w in distinct]
+        left = dict(zip(distinct, map(len, merge_all(symbols, self.table)), strict=True))
+        self.known.update((c, sum(map(left.__getitem__, parts))) for c, parts in words.items())
 
     def counts(self, texts: list[str]) -> list[int]:
-        cut = [self._pieces(t) for t in texts]
-        met = set().union(*(words for words, _ in cut)) if cut else set()
-        if new := [w for w in met if w not in self.known]:
+        cut = [self._chunks(t) for t in texts]
+        met = set().union(*(parts for parts, _ in cut))
+        if new := met - self.known.keys():
             self._learn(new)
-            if not met <= self.known.keys():  # the memory was cleared in between
-                self._learn([w for w in met if w not in self.known])
+            if lost := met - self.known.keys():  # the memory was cleared in between
+                self._learn(lost)
         known = self.known
-        return [sum(map(known.__getitem__, words)) + more for words, more in cut]
-
-
-def blocks(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in order, in blocks of about BLOCK_CHARS characters; a longer text is a block of its own."""
-    block, size = [], 0
-    for text in texts:
-        if block and size + len(text) > BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-        block.append(text)
-        size += len(text)
-    if block:
-        yield block
+        return [sum(map(known.__getitem__, parts)) + more for parts, more in cut]
 
 
 _COUNTERS: dict[tuple[str, str], Counter] = {}
