@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.binding import bind, quoted
-from newsloom.llm.common import bounded_batches, or_blank, written
+from newsloom.llm.common import arrow_bytes, bounded_batches, most_frequent, or_blank, written
 from newsloom.llm.merging import MergeTable, merge_all
 from newsloom.llm.pretokens import blocks, chunks, finder
 
@@ -130,30 +130,13 @@ def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Words of the highest counts, at most ``most`` of them: counts fall into eight levels to each doubling,
-    and the levels are taken from the top while all of their words fit."""
-    levelled = counts.withColumn("level", F.floor(F.log2("n") * 8))
-    sizes = sorted(((r[0], r[1]) for r in levelled.groupBy("level").count().collect()), reverse=True)
-    lowest, taken = None, 0
-    for level, size in sizes:
-        if taken + size > most:
-            break
-        lowest, taken = level, taken + size
-    return levelled.filter(F.lit(False) if lowest is None else F.col("level") >= lowest).select("word")
-
-
 def frequent_words(texts: DataFrame, pattern: str, ranks: str) -> bytes:
     """The most frequent pre-tokens with their ids, in Arrow's format; their number and length are bounded
     by FREQUENT and LONG."""
-    top = most_frequent(written(word_counts(texts, pattern), "bpe-words"), FREQUENT)
+    top = most_frequent(written(word_counts(texts, pattern), "bpe-words"), FREQUENT).select("word")
     spread = top.repartition(max(1, 2 * texts.sparkSession.sparkContext.defaultParallelism))
     ids = spread.select("word", latin(F.col("word")).alias("w")).select("word", F.expr(folded("w", ranks)).alias("ids"))
-    words = written(ids, "bpe-ids").toArrow()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, words.schema) as writer:
-        writer.write_table(words)
-    return sink.getvalue().to_pybytes()
+    return arrow_bytes(written(ids, "bpe-ids"))
 
 
 class Encoder:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +46,25 @@ def bounded_batches(frame: DataFrame) -> DataFrame:
     if conf.get(BATCH_BYTES, None) is None:
         conf.set(BATCH_BYTES, str(16 << 20))
     return frame
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of the highest counts ``n``, at most ``most`` of them: counts fall into eight levels to each doubling,
+    and the levels are taken from the top while all of their words fit."""
+    levelled = counts.withColumn("level", F.floor(F.log2("n") * 8))
+    sizes = sorted(((r[0], r[1]) for r in levelled.groupBy("level").count().collect()), reverse=True)
+    lowest, taken = None, 0
+    for level, size in sizes:
+        if taken + size > most:
+            break
+        lowest, taken = level, taken + size
+    return levelled.filter(F.lit(False) if lowest is None else F.col("level") >= lowest).drop("level")
+
+
+def arrow_bytes(bounded: DataFrame) -> bytes:
+    """A table of proven size in Arrow's stream format, to be broadcast."""
+    rows = bounded.toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann, byte_bpe, exact_dedup, language, mixing, simhash, token_counts, url_filter
+from newsloom.llm import ann, byte_bpe, exact_dedup, language, lm_scoring, mixing, simhash, token_counts, url_filter
 from newsloom.llm.common import table
 from newsloom.registry.base import Registry
 
@@ -106,3 +106,13 @@ def op9_language(spark, folder):
     found = language.identify(table(spark, folder, "documents"), language.remainder("doc_id", 4) != 2)
     held_out = F.coalesce(language.remainder("doc_id", 4) == 2, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@add("op10_lm_scoring")
+def op10_lm_scoring(spark, folder):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    remainder = language.remainder("doc_id", 7)
+    found = lm_scoring.score_texts(table(spark, folder, "documents"), remainder != 2, path, public_tokenizers.PATTERN)
+    held_out = F.coalesce(remainder == 2, F.lit(False))
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
