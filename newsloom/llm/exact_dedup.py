@@ -151,25 +151,3 @@ def _apart(rows: DataFrame, differing: DataFrame) -> DataFrame:
     groups = _per_text(numbered, F.max_by("seq", "ident").alias("locator"))
     return numbered.join(groups, ["digest", "content"]).select(
         "ident", "keep", "copies", (F.col("locator") == F.col("seq")).alias("kept"), "digest")
-
-
-def first_of_each(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``decisions`` keep, with their columns as they were.
-
-    Rows repeated with one identifier and text are told apart by nothing; one of them stays.
-    """
-    kept = decisions.filter("kept").select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("_ident"), F.col("digest").alias("_digest"))
-    repeated = decisions.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("_ident"), F.col("digest").alias("_digest"))
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_ident"),
-        sha256(ascii_lower(or_blank(F.col(text_col)))).alias("_digest"))
-    staying = packed.join(kept, ["_ident", "_digest"], "left_semi")
-    repeated = written(repeated, "dedup-repeated")
-    if not repeated.isEmpty():
-        once = staying.join(repeated, ["_ident", "_digest"], "left_semi").dropDuplicates(["_ident", "_digest"])
-        staying = staying.join(repeated, ["_ident", "_digest"], "left_anti").unionByName(once)
-    return staying.select("_row.*")

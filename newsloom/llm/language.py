@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.llm.common import bounded_batches, or_blank
 
@@ -133,9 +134,10 @@ class Judge:
         return self.langs[best], 1.0 - float(distance[best]) / (PROFILE * len(own))
 
 
-def identify(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text",
-             lang_col: str = "lang") -> DataFrame:
-    """``doc_id, lang_pred, score`` of every row of ``docs``, from its whole text alone.
+def identify(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+             carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` (by default the identifier) of every row of ``docs``, with ``lang_pred, score`` from
+    its whole text alone.
 
     Learns from text and language of the rows that the condition ``learn`` selects and that have a language.
     ``lang_pred`` is a learned language, or ``und`` with score 0 for a text that is null or has no letters,
@@ -146,15 +148,17 @@ def identify(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(docs)
     learned = profiles(docs.filter(learn), text_col, lang_col).collect()
     shared = spark.sparkContext.broadcast([tuple(r) for r in learned])
+    kept = docs.select(*(carry or [id_col]))
+    names = kept.columns
+    rows = kept if text_col in names else docs.select(*names, text_col)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
         for batch in batches:
-            found = [judge.judge(t) for t in batch.column("text").to_pylist()]
+            found = [judge.judge(t or "") for t in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([lang for lang, _ in found], pa.string()),
-                pa.array([score for _, score in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+                *map(batch.column, names), pa.array([lang for lang, _ in found], pa.string()),
+                pa.array([score for _, score in found], pa.float64())], [*names, "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), or_blank(F.col(text_col)).alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
+    schema = T.StructType([*kept.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)

@@ -33,8 +33,9 @@ def draw(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), id_col.cast("string"))), 1, 13), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, carry: Sequence[str]) -> DataFrame:
     return docs.select(
+        *carry,
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         F.regexp_count(or_blank(F.col(text_col)), F.lit(WORD)).cast("long").alias("size"),
         draw(F.col(id_col), seed).alias("draw"), F.monotonically_increasing_id().alias("seq"))
@@ -76,15 +77,15 @@ def _cut(rows: DataFrame, cell: str, start: str) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE, most: int = MOST_COPIES,
-        seed: str = SEED) -> DataFrame:
-    """``doc_id, size, source, source_size, target, copies, taken`` of every row of ``docs``.
+        seed: str = SEED, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, size, source, source_size, target, copies, taken`` of every row of ``docs``, and its columns ``carry``.
 
     ``copies`` is how often the mix holds the document, ``taken`` its words in the mix. The cut that comes
     nearest from below is closed by the one further document whose size fits the gap best. Null texts have
     size 0, null sources form one source, null identifiers share one draw; repeated rows are ranked one by
     one. Ties in rank go by identifier, then size. Empty tables give an empty result. Reruns agree.
     """
-    landed = written(sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
+    landed = written(sized(docs, id_col, text_col, source_col, seed, carry), "mix-sizes")
     targets = written(source_targets(landed, weights, share, most).withColumns({
         "certain": F.floor(F.col("target") / F.nullif("source_size", F.lit(0))).cast("long"),
         "source_no": F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))}).withColumn(
@@ -122,5 +123,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     done = chosen.join(closing, "source_no", "left").withColumn("copies", F.col("certain") + (
         F.col("prefix") | (F.coalesce("closing", F.lit(-1)) == F.col("seq"))).cast("long"))
     return done.select("doc_id", "size", "source", "source_size", "target", "copies",
-                       (F.col("size") * F.col("copies")).alias("taken"))
+                       (F.col("size") * F.col("copies")).alias("taken"), *carry)
 

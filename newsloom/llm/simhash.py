@@ -55,15 +55,18 @@ def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 width: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fp`` of every row; null text counts as empty."""
+                 width: int = SHINGLE_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` of every row and its columns ``carry``; null text counts as empty."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), found, *map(batch.column, carry)], ["doc_id", "fp", *carry])
 
-    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), or_blank(F.col(text_col)).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = bounded_batches(docs).select(
+        F.col(id_col).cast("long").alias("doc_id"), or_blank(F.col(text_col)).alias("text"), *carry)
+    carried = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, f"doc_id long, fp long{carried}")
 
 
 def _segments(fps: DataFrame) -> DataFrame:
@@ -125,8 +128,8 @@ def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    width: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row of ``docs``.
+                    width: int = SHINGLE_WORDS, distance: int = DISTANCE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp, component_id`` of every row of ``docs``, and its columns ``carry``.
 
     Words are runs of anything but ASCII blanks after lower-casing A-Z; shingles of ``width`` words count
     as often as they occur, a shorter text is one shingle, and a text without words has fingerprint zero.
@@ -134,11 +137,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is reachable, the row's own included; null only if none of the component has an identifier. Null text
     counts as empty, repeated rows are in one component, an empty table gives an empty result.
     """
-    rows = written(fingerprints(docs, id_col, text_col, width), "simhash")
+    rows = written(fingerprints(docs, id_col, text_col, width, carry), "simhash")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     roots = components(near_links(classes.select("fp"), distance))
     joined = written(classes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(joined.join(smallest, "root").select("fp", "component_id"), "fp").select(
-        "doc_id", "fp", "component_id")
+        "doc_id", "fp", "component_id", *carry)
