@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann, byte_bpe, exact_dedup, language, lm_scoring, mixing, simhash, token_counts, url_filter
+from newsloom.llm import ann, byte_bpe, exact_dedup, language, line_dedup, lm_scoring, mixing, simhash, token_counts, url_filter
 from newsloom.llm.common import table
 from newsloom.registry.base import Registry
 
@@ -40,6 +40,14 @@ def op2_url_filter(spark, folder):
     return url_filter.filter_pages(table(spark, folder, "pages"), url_filter.rule_table(spark))
 
 
+@add("op3_line_dedup")
+def op3_line_dedup(spark, folder):
+    found = line_dedup.line_dedup(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"),
+        F.sha2("text", 256).alias("text_sha256"))
+
+
 @add("op4_byte_bpe")
 def op4_byte_bpe(spark, folder):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
