@@ -19,7 +19,9 @@ NOISE = (
     r"|style\b.*?(?:</style\s*>|\z)"
     r"|template\b.*?(?:</template\s*>|\z))"
 )
-_ATTRIBUTES = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*"""
+# Possessive groups: the regex engine runs them as loops, where other groups would recurse once for each
+# attribute and overflow the stack on a tag that has thousands.
+_ATTRIBUTES = r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+"""
 TAG = rf"<[/!?A-Za-z](?:{_ATTRIBUTES}>|[^>]*>)"
 MARK = "\x01"
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
@@ -32,23 +34,32 @@ def without_noise(html: Column) -> Column:
 
 
 def open_tag(name: str, condition: str = "") -> str:
-    """Pattern of an opening tag; ``condition`` is a pattern that must occur among its attributes."""
-    if not condition:
-        return rf"(?i:<{name}(?=[\s/>]){_ATTRIBUTES}>)"
-    return rf"(?i:<{name}\s[^>]*?{condition}[^>]*>)"
+    """Pattern of an opening tag; ``condition`` is a pattern from one of the functions below."""
+    return rf"(?i:<{name}(?=[\s/>]){condition}{_ATTRIBUTES}>)"
+
+
+def _up_to(name: str) -> str:
+    """Pattern for what stands before the value of a tag's first attribute ``name``. Names and quoted values
+    are passed over as a whole, so neither ``data-name`` nor a mention within a value is taken for it."""
+    return rf"""(?:(?!{name}\s*=)(?:[^>"'\s/]++|[\s/]|"[^"]*+"|'[^']*+'))*+{name}\s*=\s*"""
+
+
+def has_value(name: str, value: str) -> str:
+    """The attribute ``name`` has exactly ``value``."""
+    return rf"""{_up_to(name)}(?:"{value}"|'{value}'|{value}(?=[\s/>]))"""
 
 
 def class_contains(part: str) -> str:
-    return rf"""\bclass\s*=\s*(?:"[^"]*{part}[^"]*"|'[^']*{part}[^']*'|[^\s"'>]*{part})"""
+    return rf"""{_up_to("class")}(?:"[^"]*{part}[^"]*"|'[^']*{part}[^']*'|[^\s"'>]*{part})"""
 
 
 def class_token(token: str) -> str:
     word = rf"(?<![^\s\"']){token}(?![^\s\"'])"
-    return rf"""\bclass\s*=\s*(?:"[^"]*{word}[^"]*"|'[^']*{word}[^']*'|{token}(?=[\s>]))"""
+    return rf"""{_up_to("class")}(?:"[^"]*{word}[^"]*"|'[^']*{word}[^']*'|{token}(?=[\s>]))"""
 
 
 def _sql_attribute(tag: str, name: str) -> str:
-    pattern = quoted(rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+    pattern = quoted(rf"""(?is)^</?[a-z][^\s/>]*+{_up_to(name)}(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
     value = ", ".join(f"regexp_extract({tag}, {pattern}, {i})" for i in (1, 2, 3))
     return sql_decoded(f"concat({value})")
 
@@ -59,14 +70,14 @@ def attribute(tag: Column, name: str) -> Column:
 
 
 def has_attribute(tag: Column, name: str) -> Column:
-    return F.rlike(tag, F.lit(rf"""(?is)[\s"'/]{name}\s*="""))
+    return F.rlike(tag, F.lit(rf"(?is)^<[a-z][^\s/>]*+{_up_to(name)}"))
 
 
 def _sql_balanced(rest: str, name: str) -> str:
     """Usually the text up to the first closing tag; with nested tags of the same name, the pieces
     before the closing tag of depth one, where each piece starts at such a tag."""
     opens, closes = quoted(rf"(?i)^<{name}[\s/>]"), quoted(rf"(?i)^</{name}[\s/>]")
-    single = quoted(rf"(?i)^<{name}{_ATTRIBUTES}/>")
+    single = quoted(rf"(?i)^<{name}{_ATTRIBUTES}(?<=/)>")
     change = (f"CASE WHEN rlike(piece, {closes}) THEN -1 "
               f"WHEN rlike(piece, {opens}) AND NOT rlike(piece, {single}) THEN 1 ELSE 0 END")
     deeper = bind(f"acc.depth + {change}", "depth", "named_struct('depth', depth, 'taken', "

@@ -140,6 +140,10 @@ def _outcome(responses: DataFrame, kind: Column, reply: Column, message: Column)
     )
 
 
+# JSON texts of values that are found false.
+FALSY = ("0", "0.0", "-0", "-0.0", "false", "[]", "{}", "null")
+
+
 def _decode_tolerant(responses: DataFrame) -> DataFrame:
     """Nested or flat replies; the object is cut out of surrounding prose."""
     listed = F.col("_first").isNotNull()
@@ -150,12 +154,16 @@ def _decode_tolerant(responses: DataFrame) -> DataFrame:
     reply = F.col("_reply")
     closed = reply["sentiment"].isin(*SENTIMENTS) & reply["relevant"].isin(*RELEVANCE)
     text_summary = F.coalesce(member_kind(F.col("_object"), "summary"), F.lit("STRING")).isin("STRING", "VOID")
+    # A summary that is zero, false or an empty list or object counts as none at all.
+    no_summary = F.coalesce(F.get_json_object("_object", "$.summary"), F.lit("")).isin(*FALSY)
     kind = (
         F.when(F.col("status").isNull() | (F.col("status") >= 400), "next")
         .when(F.coalesce(strip(F.col("body")), F.lit("")) == "", "stop")
         .when(F.col("_kind_of_body").isNull(), "stop")
         .when(listed & F.col("_text").isNull(), "stop")
+        .when(F.col("_kind_of_body").isin("NUMBER", "INTEGER", "BOOLEAN", "NULL"), "stop")
         .when(~F.coalesce(closed, F.lit(False)), "next")
+        .when(~text_summary & no_summary, "next")
         .when(~text_summary, "stop")
         .when(valid_closed_sets(reply), "ok")
         .otherwise("next")

@@ -14,8 +14,13 @@ READ_AHEAD = 3
 
 
 def largest_quota(sites: DataFrame) -> int:
-    """One number off the request table; it bounds how many rows of a site can matter."""
-    return sites.agg(F.coalesce(F.max("quota"), F.lit(0))).first()[0]
+    """One number off the request table; it bounds how many rows of a site can matter. A site that is
+    requested more than once may have the sum of its quotas."""
+    return site_quotas(sites).agg(F.coalesce(F.max("quota"), F.lit(0))).first()[0]
+
+
+def site_quotas(sites: DataFrame) -> DataFrame:
+    return sites.groupBy("source_url").agg(F.sum("quota").alias("quota"))
 
 
 def only_usable(events: DataFrame, minimum: int = 200) -> DataFrame:
@@ -25,16 +30,17 @@ def only_usable(events: DataFrame, minimum: int = 200) -> DataFrame:
 def with_quota(ranked: DataFrame, sites: DataFrame, factor: int = 1) -> DataFrame:
     """Rows whose position is within their site's own quota. Comes after the cut to the largest quota,
     so each site brings few rows to the join, however big it is."""
-    quotas = sites.groupBy("source_url").agg(F.sum("quota").alias("_quota"))
+    quotas = site_quotas(sites).withColumnRenamed("quota", "_quota")
     return ranked.join(quotas, "source_url").filter(
         F.col("rank") <= F.col("_quota") * factor).drop("_quota", "rank")
 
 
 def read_ahead(events: DataFrame, sites: DataFrame, bound: int | None = None) -> DataFrame:
-    """What the first extractor gets to see: three times the quota, counted before any filter."""
+    """What the first extractor hands on: three times the quota, counted over pages that had any text but
+    before any filter for usable ones."""
     limit = READ_AHEAD * (largest_quota(sites) if bound is None else bound)
     ranked = first_n_per_group(
-        events, ["source_url"], [F.col("pos"), F.col("article_url")], limit, ["article_url", "pos"])
+        events.filter(F.col("content") != ""), ["source_url"], [F.col("pos"), F.col("article_url")], limit, ["article_url", "pos"])
     return with_quota(ranked, sites, READ_AHEAD)
 
 
@@ -79,7 +85,7 @@ def site_summary(events: DataFrame, sites: DataFrame) -> DataFrame:
         F.count_if(F.col("_good")).alias("usable"),
         F.count_if(~F.col("_good")).alias("cut"),
     )
-    requested = sites.groupBy("source_url").agg(F.sum("quota").alias("requested"))
+    requested = site_quotas(sites).withColumnRenamed("quota", "requested")
     zero = F.lit(0).cast("long")
     return requested.join(counts, "source_url", "left").select(
         "source_url", F.col("requested").cast("long").alias("requested"),

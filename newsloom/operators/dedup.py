@@ -32,18 +32,32 @@ def first_per_key(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
     return grouped.select(key, "_first.*", "copies")
 
 
+def drop_later(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
+    """``df`` without the rows that have an earlier one of the same key; a NULL key has no duplicates.
+
+    Keys and order are aggregated and joined as narrow rows. Bodies are neither sorted nor aggregated:
+    they only meet the numbers of the losing rows, which Spark broadcasts if they are few.
+    """
+    narrow = df.select(key, order).filter(F.col(key).isNotNull())
+    firsts = narrow.groupBy(F.col(key).alias("_first_key")).agg(
+        F.min(order).alias("_first"), F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
+    losers = narrow.join(firsts, F.col(key) == F.col("_first_key")).filter(F.col(order) > F.col("_first")).select(order)
+    return df.join(losers, order, "left_anti").select(*df.columns)
+
+
 def deduplicate(articles: DataFrame, profile: Profile) -> DataFrame:
     """Unique articles. Profile A also discards rows without content and keeps the hash column."""
     rows = drop_empty_content(articles) if profile.drops_empty_content else articles
-    unique = first_per_key(hashed(rows, profile), "content_hash").drop("copies")
+    unique = drop_later(hashed(rows, profile), "content_hash")
     if profile.keeps_hash:
         return unique.select(*articles.columns, "content_hash")
     return unique.select(*articles.columns)
 
 
 def deduplicate_by(articles: DataFrame, key: Column) -> DataFrame:
-    """Unique articles by any other key, for example URL or title."""
-    return first_per_key(articles.withColumn("_key", key), "_key").select(*articles.columns)
+    """Unique articles by any other key, for example URL or title. Without a key, NULL or empty, an article
+    is nobody's duplicate and stays."""
+    return drop_later(articles.withColumn("_key", F.nullif(key, F.lit(""))), "_key").select(*articles.columns)
 
 
 def duplicate_counts(articles: DataFrame, profile: Profile) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import dates as D
 from newsloom.functions import html as H
 from newsloom.functions.binding import let, settled
-from newsloom.functions.text import or_empty, strip
+from newsloom.functions.text import or_empty
 from newsloom.operators.quality import usable
 
 _HEADING = r"(?is)<h([12])(?:\s[^>]*)?>(.*?)</h\1\s*>"
@@ -27,7 +27,7 @@ LONG_ENOUGH = 200
 
 def _meta(page: Column, key: str, value: str) -> Column:
     """The first meta tag of that name, '' if there is none."""
-    return H.first_tag(page, "meta", rf"""\b{key}\s*=\s*["']?{value}(?=["'\s/>])""")
+    return H.first_tag(page, "meta", H.has_value(key, value))
 
 
 def _contents(*metas: Column) -> Column:
@@ -95,7 +95,7 @@ def content_listing(page: Column) -> Column:
     """The first of an article-content div, an entry-content div, ``article`` or ``main``."""
     marked = "|".join(H.class_token(t) for t in ("article-content", "entry-content"))
     opening = (
-        rf"(?i:<div\s[^>]*?(?:{marked})[^>]*>|<article(?=[\s/>])[^>]*>|<main(?=[\s/>])[^>]*>)")
+        rf"(?i:<div(?=[\s/>])(?:{marked}){H._ATTRIBUTES}>|<article(?=[\s/>]){H._ATTRIBUTES}>|<main(?=[\s/>]){H._ATTRIBUTES}>)")
     name = F.lower(F.regexp_extract(F.regexp_extract(page, opening, 0), "^<([A-Za-z]+)", 1))
     found = F.struct(name.alias("name"), F.try_element_at(F.split(page, opening, 2), F.lit(2)).alias("rest"))
     inner = let(found, lambda f: F.coalesce(*[
@@ -176,7 +176,3 @@ def extract_listing(pages: DataFrame) -> DataFrame:
     page = F.col("_page")
     card = F.col("listing_date") if "listing_date" in pages.columns else F.lit("")
     return _record(rows, date_listing(page, card), headline_listing(page), content_listing(page))
-
-
-def stripped_length(text: Column) -> Column:
-    return F.length(strip(text))

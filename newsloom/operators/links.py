@@ -21,15 +21,24 @@ CARD, CARD_INFO = "card", "card-info"
 RESULTS_PER_PAGE = 10
 
 _ANCHOR = rf"(?is)<a\s{H._ATTRIBUTES}>(?:.*?(?=</a\s*>|<a\s|\z))"
+# Links of a listing page are numbered by part and place; a part has fewer links than this.
+PART_LINKS = 1 << 32
 
 
-def anchors(pages: DataFrame, *kept: str) -> DataFrame:
-    """One row per link of a page: ``source_url, pos, href, link_class, has_heading`` and ``anchor_no``.
+def anchors(pages: DataFrame, *kept: str, holders: Column | None = None) -> DataFrame:
+    """One row per link of a page: ``source_url, pos, href, link_class, has_heading``.
 
-    ``kept`` names further page columns to carry along.
+    ``kept`` names further page columns to carry along. ``holders`` is an array with something for each link;
+    every link takes its own along as ``_holder``, never the array.
     """
     found = F.regexp_extract_all(H.without_noise(F.col("html")), F.lit(_ANCHOR), 0)
-    rows = pages.select(*kept, F.col("url").alias("source_url"), F.posexplode(found).alias("pos", "_a"))
+    if holders is not None:
+        kept = (*kept, "_holder")
+        found = F.arrays_zip(found.alias("_a"), F.coalesce(holders, F.array().cast("array<string>")).alias("_holder"))
+        rows = pages.select(*kept[:-1], F.col("url").alias("source_url"), F.posexplode(found).alias("pos", "_z")).select(
+            "*", F.col("_z._a").alias("_a"), F.col("_z._holder").alias("_holder")).filter(F.col("_a").isNotNull())
+    else:
+        rows = pages.select(*kept, F.col("url").alias("source_url"), F.posexplode(found).alias("pos", "_a"))
     tag = F.regexp_extract("_a", rf"(?is)^<a\s{H._ATTRIBUTES}>", 0)
     found_links = rows.withColumn("_tag", tag).select(
         *kept, "source_url", "pos",
@@ -45,9 +54,8 @@ def anchors_with_holder(pages: DataFrame, holder_tokens: tuple[str, ...]) -> Dat
     one of the tokens; elsewhere no parent can have them."""
     mentions = F.rlike("html", F.lit("|".join(holder_tokens)))
     holders = F.when(mentions, H.parent_classes(F.col("html")))
-    rows = anchors(pages.withColumn("_holders", holders), "_holders")
-    return rows.withColumn(
-        "parent_class", F.coalesce(F.get("_holders", F.col("pos")), F.lit(""))).drop("_holders")
+    return anchors(pages, holders=holders).withColumn(
+        "parent_class", F.coalesce("_holder", F.lit(""))).drop("_holder")
 
 
 def article_like_static(url: Column, link_class: Column, parent_class: Column) -> Column:
@@ -131,9 +139,12 @@ def card_links(pages: DataFrame) -> DataFrame:
     inside = let(F.struct(name.alias("name"), rest.alias("rest")), lambda c: F.when(is_card, F.coalesce(
         *[F.when(c["name"] == kind, H.balanced(c["rest"], kind)) for kind in holders], c["rest"])))
     info = H.open_tag(r"[a-z][a-z0-9]*", H.class_token(CARD_INFO))
-    after_info = F.split(F.col("_inside"), info, 2)
-    info_text = H.inner_text(F.regexp_extract(
-        F.try_element_at(after_info, F.lit(2)), r"(?is)^(.*?)(?:</(?:div|span|p|li|section|time)\s*>|\z)", 1))
+    opened = F.struct(
+        F.lower(F.regexp_extract(F.regexp_extract("_inside", info, 0), r"^<([A-Za-z][A-Za-z0-9]*)", 1)).alias("name"),
+        F.try_element_at(F.split(F.col("_inside"), info, 2), F.lit(2)).alias("rest"))
+    info_kinds = ("div", "span", "p", "li", "section", "time")
+    info_text = H.inner_text(let(opened, lambda c: F.coalesce(
+        *[F.when(c["name"] == kind, H.balanced(c["rest"], kind)) for kind in info_kinds], c["rest"])))
     card_date = F.coalesce(F.regexp_extract(info_text, r"([0-9]{2}\.[0-9]{2}\.[0-9]{4})", 1), F.lit(""))
     tagged = chunks.withColumn("_inside", inside).withColumn("_date", card_date)
     found = F.regexp_extract_all("_part", F.lit(_ANCHOR), 0)
@@ -141,7 +152,7 @@ def card_links(pages: DataFrame) -> DataFrame:
         "source_url", "chunk", "_date", "_inside", F.posexplode(found).alias("n", "_a"))
     tag = F.regexp_extract("_a", rf"(?is)^<a\s{H._ATTRIBUTES}>", 0)
     href = H.attribute(tag, "href")
-    listed = rows.filter(F.rlike(tag, F.lit(rf"(?is)\s{H.class_token(RENDERED_LINK)}"))).select(
+    listed = rows.filter(F.rlike(tag, F.lit(rf"(?is)^<a(?=[\s/>]){H.class_token(RENDERED_LINK)}"))).select(
         "source_url", "chunk", "n",
         U.resolve_naive(F.col("source_url"), href).alias("article_url"),
         F.when(F.contains(F.coalesce(F.col("_inside"), F.lit("")), F.col("_a")), F.col("_date"))
@@ -150,7 +161,7 @@ def card_links(pages: DataFrame) -> DataFrame:
     return listed.groupBy("source_url", "article_url").agg(
         F.min(F.struct("chunk", "n", "listing_date")).alias("_f")
     ).select("source_url", "article_url", F.col("_f.listing_date").alias("listing_date"),
-             (F.col("_f.chunk") * 1_000_000 + F.col("_f.n")).alias("pos"))
+             (F.col("_f.chunk").cast("long") * PART_LINKS + F.col("_f.n")).alias("pos"))
 
 
 # --- search results -------------------------------------------------------------------------

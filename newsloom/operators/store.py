@@ -18,7 +18,6 @@ from newsloom.schemas import (
 )
 
 REQUIRED = ("content_hash", "headline", "sentiment", "summary", "relevant", "processing_status")
-BROADCAST_ROWS = 10_000
 
 
 def store_date(text: Column, date_mode: str = "strict") -> Column:
@@ -73,7 +72,8 @@ def own_violations(processed: DataFrame, date_mode: str = "strict") -> Column:
     ]
     if "quality_factors" in processed.columns:
         too_long = F.exists("quality_factors", lambda f: F.length(f) > FACTOR_LIMIT)
-        rules.append(F.when(too_long, "factor_too_long"))
+        missing = F.exists("quality_factors", lambda f: f.isNull())
+        rules += [F.when(too_long, "factor_too_long"), F.when(missing, "factor_missing")]
     if date_mode == "strict" and "date" in processed.columns:
         bad = F.col("date").isNotNull() & store_date(F.col("date"), date_mode).isNull()
         rules.append(F.when(bad, "date_invalid"))
@@ -168,10 +168,7 @@ def newest(articles: DataFrame, limit: int = 10) -> DataFrame:
 def recent(articles: DataFrame, factors: DataFrame, limit: int = 10) -> DataFrame:
     """The most recently stored articles. Factors are read only for those rows."""
     top = newest(articles, limit)
-    keys = top.select("content_hash")
-    if limit <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    few = factors.join(keys, "content_hash", "left_semi")
+    few = factors.join(top.select("content_hash"), "content_hash", "left_semi")
     return with_factors(top, few).orderBy(F.desc("created_at"), "content_hash")
 
 

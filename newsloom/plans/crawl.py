@@ -22,12 +22,6 @@ def site_pages(sites: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").join(wanted, "url", "left_semi")
 
 
-def stored_links(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Links whose page is stored; reads no HTML."""
-    known = pages.select(F.col("url").alias("article_url"))
-    return links.join(known, "article_url", "left_semi").select("source_url", "article_url", "pos")
-
-
 def linked_pages(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Stored pages behind links, with the site and the position of the link.
 
@@ -39,9 +33,9 @@ def linked_pages(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def main_articles(sites: DataFrame, pages: DataFrame, bound: int | None = None) -> DataFrame:
-    """First extractor: the read-ahead is cut on links, before any page is fetched."""
-    links = stored_links(L.static_links(site_pages(sites, pages)), pages)
-    return X.extract_main(linked_pages(C.read_ahead(links, sites, bound), pages))
+    """First extractor: pages without text do not count for the read-ahead, so it is cut on what was extracted."""
+    links = L.static_links(site_pages(sites, pages))
+    return C.read_ahead(X.extract_main(linked_pages(links, pages)), sites, bound)
 
 
 def fallback_articles(sites: DataFrame, pages: DataFrame) -> DataFrame:
@@ -55,7 +49,7 @@ def rendered_articles(sites: DataFrame, rendered: DataFrame) -> DataFrame:
 def still_short(sites: DataFrame, found: DataFrame) -> DataFrame:
     """Sites that need more articles, with the number they lack."""
     counts = found.groupBy("source_url").agg(F.count(F.lit(1)).alias("_found"))
-    wanted = sites.groupBy("source_url").agg(F.sum("quota").alias("quota"))
+    wanted = C.site_quotas(sites)
     missing = F.col("quota") - F.coalesce(F.col("_found"), F.lit(0))
     return wanted.join(counts, "source_url", "left").select(
         "source_url", missing.cast("int").alias("quota")).filter(F.col("quota") > 0)

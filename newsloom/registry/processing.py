@@ -60,12 +60,12 @@ def empty_drop(spark, folder):
         "seq", F.length("content").cast("long").alias("chars"))
 
 
-@add("t_strip_and_cut", f"""WITH {V.ARTICLES} SELECT seq, {V.sql_strip('content[:120]')} AS stripped,
-  {V.sql_collapse('content[:120]')} AS collapsed, headline[:50] AS cut FROM art""")
+@add("t_strip_and_cut", f"""WITH {V.ARTICLES} SELECT seq, {V.sql_strip('content')} AS stripped,
+  {V.sql_collapse('content')} AS collapsed, headline[:50] AS cut FROM art""")
 def strip_and_cut(spark, folder):
-    start = F.substring("content", 1, 120)
+    content = F.col("content")
     return V.articles(spark, folder).select(
-        "seq", T.strip(start).alias("stripped"), T.collapse(start).alias("collapsed"),
+        "seq", T.strip(content).alias("stripped"), T.collapse(content).alias("collapsed"),
         T.preview(F.col("headline"), 50).alias("cut"))
 
 
@@ -130,7 +130,7 @@ def report_b(spark, folder):
 
 def _by_key_sql(key):
     return f"""WITH {V.ARTICLES} SELECT seq, headline, article_url FROM art
-QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY seq) = 1"""
+QUALIFY coalesce({key}, '') = '' OR row_number() OVER (PARTITION BY {key} ORDER BY seq) = 1"""
 
 
 @add("e2_dedup_by_url", _by_key_sql("article_url"))

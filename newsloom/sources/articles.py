@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions.text import preview
 from newsloom.schemas import PROCESSED_ARTICLE, RAW_ARTICLE
+from newsloom.session import scratch_path
 from newsloom.sources.folders import next_number
 
 
@@ -25,9 +26,35 @@ def _json_files(
     return reader.json(paths if isinstance(paths, str) else list(paths))
 
 
+PLACE = ("_file", "_block")
+
+
+def from_files(df: DataFrame) -> DataFrame:
+    """Adds the file and the block that each row comes from."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+
+
 def with_seq(df: DataFrame) -> DataFrame:
-    """Number rows in file order; gaps are allowed, so no task has to wait for another."""
-    return df.withColumn("seq", F.monotonically_increasing_id())
+    """Rows of files (``from_files``) with ``seq``, their position in the order of paths and of rows within a
+    file, from 0.
+
+    The rows are written to the shared folder once, with the block of the file that each comes from, and
+    come back numbered: the numbers are the same however Spark cuts files into tasks, and later scans read
+    what was written. Only one number per block is ordered in one task. A table that does not come from
+    files has no such order; its rows get increasing numbers for the life of the plan.
+    """
+    if "_file" not in df.columns:
+        return df.withColumn("seq", F.monotonically_increasing_id())
+    spark = df.sparkSession
+    path = scratch_path(spark, "numbered")
+    df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    landed = spark.read.parquet(path)
+    blocks = landed.groupBy("_file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(
+        Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))
+    placed = blocks.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_rows")
+    return landed.join(placed, ["_file", "_block"]).select(
+        *[c for c in df.columns if c not in PLACE], (F.col("_before") + F.col("_row") - F.col("_first")).alias("seq"))
 
 
 def read_raw(spark: SparkSession, path: str, strict: bool = True, lines: bool = False) -> DataFrame:
@@ -35,11 +62,11 @@ def read_raw(spark: SparkSession, path: str, strict: bool = True, lines: bool =
     file, a broken array or a broken line has no rows."""
     mode = "FAILFAST" if strict else "DROPMALFORMED"
     try:
-        return with_seq(_json_files(spark, path, RAW_ARTICLE, mode, lines))
+        return with_seq(from_files(_json_files(spark, path, RAW_ARTICLE, mode, lines)))
     except AnalysisException as problem:
         if strict or problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return with_seq(spark.createDataFrame([], RAW_ARTICLE))
+        return spark.createDataFrame([], T.StructType([*RAW_ARTICLE, T.StructField("seq", T.LongType())]))
 
 
 def read_processed(
@@ -47,7 +74,7 @@ def read_processed(
 ) -> DataFrame:
     """Processed articles with ``seq`` and the ``file`` they come from."""
     rows = _json_files(spark, paths, PROCESSED_ARTICLE, "FAILFAST", lines)
-    return with_seq(rows.withColumn("file", F.col("_metadata.file_path")))
+    return with_seq(from_files(rows).withColumn("file", F.col("_file")))
 
 
 def write_processed(processed: DataFrame, path: str, fmt: str = "json") -> None:

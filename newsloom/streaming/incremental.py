@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from newsloom.schemas import RAW_ARTICLE
-from newsloom.sources.articles import with_seq
+from newsloom.sources.articles import from_files, with_seq
 from newsloom.sources.tables import ArticleStore
 
 
 def raw_stream(
     spark: SparkSession, folder: str, files_per_batch: int | None = None, lines: bool = False,
 ) -> DataFrame:
-    """Raw-article files as they arrive in a folder."""
+    """Raw-article files as they arrive in a folder, with the place of each row."""
     reader = spark.readStream.schema(RAW_ARTICLE).option("multiLine", not lines)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(folder)
+    return from_files(reader.json(folder))
 
 
 def ingest(

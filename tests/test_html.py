@@ -93,7 +93,7 @@ def test_main_text_leaves_navigation_out(spark):
     assert (row.headline, row.content) == ("T", "a\nb")
 
 
-BASE = "https://www.ti.com/x/"
+BASE = "https://www.example.com/x/"
 
 
 def links(spark, hrefs, operator):
@@ -101,17 +101,17 @@ def links(spark, hrefs, operator):
     return {r.article_url for r in operator(pages(spark, (BASE, f"<body>{anchors}</body>"))).collect()}
 
 
-HREFS = ["/news/a", "https://www.ti.com/b.html", "https://www.ti.com/b", "https://other.com/?r=www.ti.com",
-         "https://www.ti.com/news/a#top", "/login", "mailto:x@www.ti.com"]
+HREFS = ["/news/a", "https://www.example.com/b.html", "https://www.example.com/b", "https://other.example.org/?r=www.example.com",
+         "https://www.example.com/news/a#top", "/login", "mailto:x@www.example.com"]
 
 
 def test_static_links(spark):
-    assert links(spark, HREFS, L.static_links) == {"https://www.ti.com/news/a", "https://www.ti.com/b.html"}
+    assert links(spark, HREFS, L.static_links) == {"https://www.example.com/news/a", "https://www.example.com/b.html"}
 
 
 def test_fallback_links(spark):
     assert links(spark, HREFS, L.fallback_links) == {
-        "https://www.ti.com/b.html", "https://www.ti.com/b", "https://other.com/?r=www.ti.com"}
+        "https://www.example.com/b.html", "https://www.example.com/b", "https://other.example.org/?r=www.example.com"}
 
 
 def test_rendered_links_by_class_heading_and_parent(spark):
@@ -120,16 +120,16 @@ def test_rendered_links_by_class_heading_and_parent(spark):
             '<div class="card-title"></div><a href="p4">x</a><a>no href</a><a href="">x</a>'
             '<!-- <a href="/news/no">x</a> --><a href="#/news/">x</a><a href="/news/y">y</a><a href="/2024/z">z</a>')
     got = {r.article_url: r.pos for r in L.rendered_links(pages(spark, (BASE, page))).collect()}
-    assert set(got) == {BASE + "p1", BASE + "p2", "https://www.ti.com/p3?a=1&b=2", "https://www.ti.com/news/y"}
+    assert set(got) == {BASE + "p1", BASE + "p2", "https://www.example.com/p3?a=1&b=2", "https://www.example.com/news/y"}
     with_years = {r.article_url for r in L.rendered_links(pages(spark, (BASE, page)), True).collect()}
-    assert with_years - set(got) == {"https://www.ti.com/2024/z"}
+    assert with_years - set(got) == {"https://www.example.com/2024/z"}
 
 
 def test_teaser_parent_and_first_position(spark):
     page = ('<ul class="teaser list"><li>x</li><b>y</b><a href="/q">q</a></ul><a href="/q">q</a>'
             '<p class="teaser"><a href="/r">r</a><p><a href="/s">s</a>')
     got = {r.article_url: r.pos for r in L.static_links(pages(spark, (BASE, page))).collect()}
-    assert got == {"https://www.ti.com/q": 0, "https://www.ti.com/r": 2}
+    assert got == {"https://www.example.com/q": 0, "https://www.example.com/r": 2}
 
 
 def test_card_links(spark):
