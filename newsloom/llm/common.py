@@ -28,10 +28,10 @@ def ascii_lower(text: Column) -> Column:
 
 def written(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written to the shared folder and read back: computed once, lineage cut, and safe when an
-    executor is lost."""
+    executor is lost. Compressed well, as texts may be among its columns."""
     spark = frame.sparkSession
     path = scratch_path(spark, name)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -39,8 +39,8 @@ def line_rows(landed: DataFrame) -> DataFrame:
 
 
 def windows(lines: DataFrame, words: int) -> DataFrame:
-    """``seq, ident, p, n, hashes, fp, fp_at``: the window from each line on, and where its fingerprint is (the
-    last place of the smallest hash). Ends of texts with fewer words have none."""
+    """``seq, ident, p, n, content, fp, fp_at``: the window from each line on, a digest of its lines, and where its
+    fingerprint is (the last place of the smallest hash). Ends of texts with fewer words have none."""
     by_line = Window.partitionBy("seq").orderBy("p")
     upto = F.sum("w").over(by_line.rowsBetween(Window.unboundedPreceding, 0))
     whole = F.sum("w").over(Window.partitionBy("seq"))
@@ -50,15 +50,16 @@ def windows(lines: DataFrame, words: int) -> DataFrame:
     least = F.min(F.struct("h", (-F.col("p")).alias("back"))).over(frame)
     found = placed.withColumns({"hashes": F.collect_list("h").over(frame), "least": least}).filter(
         F.col("start") + words <= F.col("whole"))
-    return found.select("seq", "ident", "p", F.size("hashes").alias("n"), "hashes", F.col("least.h").alias("fp"),
-                        (-F.col("least.back")).alias("fp_at"))
+    return found.select(
+        "seq", "ident", "p", F.size("hashes").alias("n"),
+        F.unhex(F.md5(F.array_join(F.transform("hashes", F.hex), ""))).alias("content"),
+        F.xxhash64("least.h").alias("fp"), (-F.col("least.back")).alias("fp_at"))
 
 
 def matches(found: DataFrame) -> DataFrame:
     """``seq, p, n, first_seq, first_p`` of every window whose content occurs earlier, by identifier and place."""
     places = found.select("fp", "seq", "fp_at").distinct().groupBy("fp").agg(F.count(F.lit(1)).alias("places"))
-    repeated = found.join(places.filter("places > 1").select("fp"), "fp").select(
-        "seq", "ident", "p", "n", F.unhex(F.md5(F.array_join(F.transform("hashes", F.hex), ""))).alias("content"))
+    repeated = found.join(places.filter("places > 1").select("fp"), "fp").select("seq", "ident", "p", "n", "content")
     firsts = repeated.groupBy("content").agg(
         F.min(F.struct("ident", "seq", "p")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
     return repeated.join(firsts, "content").filter(
@@ -102,7 +103,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     landed = _landed(docs, id_col, text_col)
     lines = written(line_rows(landed), "line-hashes")
-    met = written(matches(windows(lines, words)), "line-matches")
+    met = written(matches(written(windows(lines, words), "line-windows")), "line-matches")
     gone = extended(met, lines, words).select("seq", F.explode(F.sequence("low", "high")).alias("p")).distinct()
     removed = gone.join(lines.select("seq", "p", "line"), ["seq", "p"]).groupBy("seq").agg(
         F.sort_array(F.collect_list("line")).alias("removed"))
