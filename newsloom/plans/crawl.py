@@ -7,6 +7,8 @@ quotas and is checkpointed, so the next step reads it instead of extracting agai
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,24 +57,37 @@ def still_short(sites: DataFrame, found: DataFrame) -> DataFrame:
         "source_url", missing.cast("int").alias("quota")).filter(F.col("quota") > 0)
 
 
-def crawl(sites: DataFrame, pages: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
+def fill_in_stages(
+    extractors: dict[str, Callable[[DataFrame], DataFrame]], sites: DataFrame, methods: Sequence[str] = C.METHODS,
+) -> DataFrame:
     """Usable articles of every site up to its quota, with the ``method`` that found them.
 
-    ``rendered`` are pages saved from a browser; without them the third extractor reads the same pages.
+    ``extractors`` maps a method to a function from the sites that still need articles to article records. The
+    functions are called in the order of ``methods``, so each extracts only for sites that are still short.
     """
     shared_folder(sites.sparkSession)
     bound = C.largest_quota(sites)
-    shown = pages if rendered is None else rendered
-    steps = (
-        lambda short: main_articles(short, pages, bound),
-        lambda short: fallback_articles(short, pages),
-        lambda short: rendered_articles(short, shown),
-    )
     found = None
-    for priority, (method, step) in enumerate(zip(C.METHODS, steps, strict=True)):
+    for priority, method in enumerate(methods):
+        if method not in extractors:
+            continue
         short = sites if found is None else still_short(sites, found)
-        events = C.only_usable(step(short)).withColumns(
+        events = C.only_usable(extractors[method](short)).withColumns(
             {"method": F.lit(method), "priority": F.lit(priority)})
         taken = C.fill_quota(events, short, bound).checkpoint()
         found = taken if found is None else found.unionByName(taken)
     return found
+
+
+def crawl(sites: DataFrame, pages: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
+    """Usable articles of every site up to its quota from stored pages.
+
+    ``rendered`` are pages saved from a browser; without them the third extractor reads the same pages.
+    """
+    bound = C.largest_quota(sites)
+    shown = pages if rendered is None else rendered
+    return fill_in_stages({
+        "main": lambda short: main_articles(short, pages, bound),
+        "fallback": lambda short: fallback_articles(short, pages),
+        "rendered": lambda short: rendered_articles(short, shown),
+    }, sites)

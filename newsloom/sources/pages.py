@@ -16,14 +16,15 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def latest_snapshots(pages: DataFrame) -> DataFrame:
     """One snapshot per key, the last one by ``seq``.
 
-    Winners are chosen on ``url`` and ``seq`` alone, so the first pass does not read any HTML. The
-    pages are then matched on the unique ``seq``; only winning numbers are held in the hash table, and
-    the pages, which are big, need not be sorted.
+    Superseded pages are found on ``url`` and ``seq`` alone, so that pass does not read any HTML, and removed by
+    their unique ``seq``. How that join is made is left to the measured sizes.
     """
     key = snapshot_key(F.col("url"))
-    last = pages.select(key.alias("snapshot_key"), "seq").groupBy("snapshot_key").agg(F.max("seq").alias("seq"))
-    winners = last.select("seq").hint("shuffle_hash")
-    return pages.join(winners, "seq", "left_semi").select(key.alias("snapshot_key"), "seq", "url", "html")
+    narrow = pages.select(key.alias("_key"), "seq")
+    last = narrow.groupBy(F.col("_key").alias("_last_key")).agg(
+        F.max("seq").alias("_last"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    superseded = narrow.join(last, F.col("_key") == F.col("_last_key")).filter(F.col("seq") < F.col("_last")).select("seq")
+    return pages.join(superseded, "seq", "left_anti").select(key.alias("snapshot_key"), "seq", "url", "html")
 
 
 def write_snapshots(pages: DataFrame, path: str) -> None:

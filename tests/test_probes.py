@@ -13,6 +13,7 @@ from newsloom.operators import store as S
 from newsloom.plans import crawl as PC
 from newsloom.profiles import PROFILE_A
 from newsloom.sources import articles as A
+from newsloom.sources import pages as P
 
 BODY = "A sentence that is long enough to be a part of an article. " * 5
 
@@ -129,3 +130,28 @@ def test_a_missing_factor_breaks_a_rule(spark):
     rows = spark.createDataFrame([([None],)], "quality_factors array<string>").select(
         "*", *[F.lit("x").alias(c) for c in S.REQUIRED])
     assert "factor_missing" in rows.select(S.own_violations(rows).alias("v")).first().v
+
+
+def test_snapshots_are_written_and_read(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(1, "https://x.example.com/a", "old"), (2, "https://x.example.com/a", "new"), (3, "https://x.example.com/b", "b")],
+        "seq long, url string, html string")
+    P.write_snapshots(rows, str(tmp_path / "pages"))
+    assert sorted((r.url[-1], r.html) for r in P.read_pages(spark, str(tmp_path / "pages")).collect()) == [("a", "new"), ("b", "b")]
+
+
+def test_later_extractors_see_only_short_sites(spark):
+    sites = spark.createDataFrame([("full", 1), ("short", 2)], "source_url string, quota int")
+    asked = []
+
+    def extractor(method):
+        def extract(short):
+            asked.append((method, sorted(r.source_url for r in short.collect())))
+            rows = [("", "h", BODY, f"{s}/{method}", s, 1) for s in ("full", "short")]
+            found = spark.createDataFrame(rows, "date string, headline string, content string, article_url string, source_url string, pos int")
+            return found.join(short.select("source_url"), "source_url", "left_semi")
+        return extract
+
+    found = PC.fill_in_stages({m: extractor(m) for m in C.METHODS}, sites)
+    assert asked == [("main", ["full", "short"]), ("fallback", ["short"]), ("rendered", [])]
+    assert sorted(r.article_url for r in found.collect()) == ["full/main", "short/fallback", "short/main"]
