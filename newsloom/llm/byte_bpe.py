@@ -170,7 +170,7 @@ class Encoder:
         ends = []
         for block in blocks(texts):
             cut = [chunks(t) for t in block]
-            for new in set().union(*cut) - self.chunk.keys():
+            for new in [c for c in set().union(*cut) if c not in self.chunk]:
                 self.chunk[new] = [i for word in self.find(new) for i in self._ids(word)]
             for parts in cut:
                 flat.extend(itertools.chain.from_iterable(map(self.chunk.__getitem__, parts)))
