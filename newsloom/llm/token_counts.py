@@ -58,7 +58,7 @@ class Counter:
         parts = self.added.split(text)
         return [c for part in parts for c in chunks(part)], len(parts) - 1
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
         words = {c: self.find(c) for c in new}
@@ -70,9 +70,9 @@ class Counter:
     def counts(self, texts: list[str]) -> list[int]:
         cut = [self._chunks(t) for t in texts]
         met = set().union(*(parts for parts, _ in cut))
-        if new := met - self.known.keys():
+        if new := [c for c in met if c not in self.known]:
             self._learn(new)
-            if lost := met - self.known.keys():  # the memory was cleared in between
+            if lost := [c for c in met if c not in self.known]:  # the memory was cleared in between
                 self._learn(lost)
         known = self.known
         return [sum(map(known.__getitem__, parts)) + more for parts, more in cut]
