@@ -28,6 +28,7 @@ from newsloom.functions.binding import bind, quoted
 from newsloom.llm.common import arrow_bytes, bounded_batches, most_frequent, or_blank, written
 from newsloom.llm.merging import MergeTable, merge_all
 from newsloom.llm.pretokens import blocks, chunks, finder
+from newsloom.llm.ragged import Ragged
 
 # Buckets of the literal map: a map is searched entry by entry, so each bucket holds about one.
 BUCKETS = 1 << 16
@@ -36,7 +37,7 @@ FREQUENT = 1 << 20
 LONG = 256
 # Distinct chunks that a task gathers before it hands on counts, and that a worker remembers.
 GATHERED = 1 << 18
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -144,38 +145,62 @@ class Encoder:
 
     def __init__(self, known: bytes, path: str, pattern: str) -> None:
         words = pa.ipc.open_stream(known).read_all().combine_chunks()
-        self.row = {w: i for i, w in enumerate(words.column("word").to_pylist())}
-        ids = words.column("ids").combine_chunks() if len(words) else None
-        self.ids = np.empty(0, np.int32) if ids is None else ids.flatten().to_numpy(zero_copy_only=False)
-        self.start = np.zeros(1, np.int64) if ids is None else np.concatenate(
-            ([0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))))
         self.find, self.path = finder(pattern), path
-        self.chunk: dict[str, list[int]] = {}
+        self.known = Ragged(np.int32)
+        if len(words):
+            ids = words.column("ids").combine_chunks()
+            self.known.add(words.column("word").to_pylist(), ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64),
+                           ids.flatten().to_numpy(zero_copy_only=False))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.chunk = Ragged(np.int32)
         self.open_words: list[str] = []
 
-    def _ids(self, word: str) -> list[int]:
-        if (row := self.row.get(word)) is not None:
-            return self.ids[self.start[row]:self.start[row + 1]].tolist()
+    def _unknown(self, word: str) -> int:
+        """The number of a word that is not in the table: its place, if it is long; else it stays open."""
         if len(raw := word.encode()) > LONG:
-            return _long_words(self.path).encode(raw)
+            ids = np.array(_long_words(self.path).encode(raw))
+            self.known.add([word], np.array([len(ids)]), ids)
+            return len(self.known) - 1
         self.open_words.append(word)
-        return [-len(self.open_words)]
+        return -len(self.open_words)
+
+    def _learn(self, new: list[str]) -> None:
+        """A chunk's ids are those of its pre-tokens; -k stands for the k-th open word."""
+        cut = [self.find(c) for c in new]
+        words = list(itertools.chain.from_iterable(cut))
+        found = [self.known.number.get(w) for w in words]
+        for i in [i for i, row in enumerate(found) if row is None]:
+            # The long words of this block are in the table from their first one on.
+            found[i] = self.known.number.get(words[i]) if len(words[i]) > LONG else None
+            if found[i] is None:
+                found[i] = self._unknown(words[i])
+        rows = np.array(found, np.int64)
+        is_open = rows < 0
+        each = np.ones(len(rows), np.int64)
+        each[~is_open] = self.known.length[rows[~is_open]]
+        flat = np.empty(int(each.sum()), np.int32)
+        owner = np.repeat(is_open, each)
+        flat[owner], flat[~owner] = rows[is_open], self.known.gather(rows[~is_open])
+        ends = np.cumsum([len(c) for c in cut])
+        sums = np.concatenate(([0], np.cumsum(each)))
+        self.chunk.add(new, np.diff(sums[np.concatenate(([0], ends))]), flat)
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts together, and where each text ends; a number -k stands for the k-th open word."""
         if len(self.chunk) > REMEMBERED:
-            self.chunk.clear()
-            self.open_words.clear()
-        flat: list[int] = []
-        ends = []
+            self._forget()
+        flat, lengths = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
         for block in blocks(texts):
             cut = [chunks(t) for t in block]
-            for new in [c for c in set().union(*cut) if c not in self.chunk]:
-                self.chunk[new] = [i for word in self.find(new) for i in self._ids(word)]
-            for parts in cut:
-                flat.extend(itertools.chain.from_iterable(map(self.chunk.__getitem__, parts)))
-                ends.append(len(flat))
-        return np.array(flat, np.int32), np.array(ends, np.int64)
+            if new := self.chunk.missing(set().union(*cut)):
+                self._learn(new)
+            numbers = self.chunk.numbers(list(itertools.chain.from_iterable(cut)))
+            sums = np.concatenate(([0], np.cumsum(self.chunk.length[numbers])))
+            flat.append(self.chunk.gather(numbers))
+            lengths.append(np.diff(sums[np.concatenate(([0], np.cumsum([len(c) for c in cut])))]))
+        return np.concatenate(flat), np.cumsum(np.concatenate(lengths))
 
     def parts(self, texts: list[str]) -> pa.ListArray:
         """Per text its parts: known ids, then a word that is still open; the last part has none."""
