@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.binding import bind, quoted
-from newsloom.llm.common import arrow_bytes, bounded_batches, most_frequent, or_blank, written
+from newsloom.llm.common import bounded_batches, most_frequent, or_blank, written
 from newsloom.llm.merging import MergeTable, merge_all
 from newsloom.llm.pretokens import blocks, chunks, finder
-from newsloom.llm.ragged import Ragged
+from newsloom.llm.ragged import Digests, Ragged, spread
 
 # Buckets of the literal map: a map is searched entry by entry, so each bucket holds about one.
 BUCKETS = 1 << 16
@@ -37,7 +37,7 @@ FREQUENT = 1 << 20
 LONG = 256
 # Distinct chunks that a task gathers before it hands on counts, and that a worker remembers.
 GATHERED = 1 << 18
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -131,26 +131,29 @@ def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(texts: DataFrame, pattern: str, ranks: str) -> bytes:
-    """The most frequent pre-tokens with their ids, in Arrow's format; their number and length are bounded
-    by FREQUENT and LONG."""
+def frequent_words(texts: DataFrame, pattern: str, ranks: str) -> tuple[Digests, np.ndarray, np.ndarray]:
+    """The most frequent pre-tokens, by digest, with the number of their ids and all ids together. Their number
+    and length are bounded by FREQUENT and LONG."""
     top = most_frequent(written(word_counts(texts, pattern), "bpe-words"), FREQUENT).select("word")
-    spread = top.repartition(max(1, 2 * texts.sparkSession.sparkContext.defaultParallelism))
-    ids = spread.select("word", latin(F.col("word")).alias("w")).select("word", F.expr(folded("w", ranks)).alias("ids"))
-    return arrow_bytes(written(ids, "bpe-ids"))
+    dealt = top.repartition(max(1, 2 * texts.sparkSession.sparkContext.defaultParallelism))
+    encoded = dealt.select("word", latin(F.col("word")).alias("w")).select("word", F.expr(folded("w", ranks)).alias("ids"))
+    words = written(encoded, "bpe-ids").toArrow().combine_chunks()
+    if not len(words):
+        return Digests([]), np.empty(0, np.int64), np.empty(0, np.int32)
+    ids = words.column("ids").combine_chunks()
+    return (Digests(w.as_py() for w in words.column("word")),
+            ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64),
+            ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
 
 
 class Encoder:
     """Ids of texts as far as they are known. One per worker process, for as long as its broadcast lives."""
 
-    def __init__(self, known: bytes, path: str, pattern: str) -> None:
-        words = pa.ipc.open_stream(known).read_all().combine_chunks()
+    def __init__(self, known: tuple[Digests, np.ndarray, np.ndarray], path: str, pattern: str) -> None:
         self.find, self.path = finder(pattern), path
-        self.known = Ragged(np.int32)
-        if len(words):
-            ids = words.column("ids").combine_chunks()
-            self.known.add(words.column("word").to_pylist(), ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64),
-                           ids.flatten().to_numpy(zero_copy_only=False))
+        self.known, self.length, self.flat = known
+        self.first = np.cumsum(self.length) - self.length
+        self.long: dict[str, int] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -159,30 +162,30 @@ class Encoder:
 
     def _unknown(self, word: str) -> int:
         """The number of a word that is not in the table: its place, if it is long; else it stays open."""
-        if len(raw := word.encode()) > LONG:
-            ids = np.array(_long_words(self.path).encode(raw))
-            self.known.add([word], np.array([len(ids)]), ids)
-            return len(self.known) - 1
-        self.open_words.append(word)
-        return -len(self.open_words)
+        if word in self.long:
+            return self.long[word]
+        if len(raw := word.encode()) <= LONG:
+            self.open_words.append(word)
+            return -len(self.open_words)
+        ids = np.array(_long_words(self.path).encode(raw), np.int32)
+        self.first, self.length = np.append(self.first, len(self.flat)), np.append(self.length, len(ids))
+        self.flat = np.concatenate((self.flat, ids))
+        self.long[word] = len(self.first) - 1
+        return self.long[word]
 
     def _learn(self, new: list[str]) -> None:
         """A chunk's ids are those of its pre-tokens; -k stands for the k-th open word."""
         cut = [self.find(c) for c in new]
         words = list(itertools.chain.from_iterable(cut))
-        found = [self.known.number.get(w) for w in words]
-        for i in [i for i, row in enumerate(found) if row is None]:
-            # The long words of this block are in the table from their first one on.
-            found[i] = self.known.number.get(words[i]) if len(words[i]) > LONG else None
-            if found[i] is None:
-                found[i] = self._unknown(words[i])
-        rows = np.array(found, np.int64)
+        rows = self.known.find(words)
+        for i in np.flatnonzero(rows < 0):
+            rows[i] = self._unknown(words[i])
         is_open = rows < 0
         each = np.ones(len(rows), np.int64)
-        each[~is_open] = self.known.length[rows[~is_open]]
+        each[~is_open] = self.length[rows[~is_open]]
         flat = np.empty(int(each.sum()), np.int32)
         owner = np.repeat(is_open, each)
-        flat[owner], flat[~owner] = rows[is_open], self.known.gather(rows[~is_open])
+        flat[owner], flat[~owner] = rows[is_open], self.flat[spread(self.first[rows[~is_open]], each[~is_open])]
         ends = np.cumsum([len(c) for c in cut])
         sums = np.concatenate(([0], np.cumsum(each)))
         self.chunk.add(new, np.diff(sums[np.concatenate(([0], ends))]), flat)

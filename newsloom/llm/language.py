@@ -27,8 +27,9 @@ LONGEST = 3
 PROFILE = 400
 OWN = 300
 UNKNOWN = "und"
-# Distinct words that a task gathers, or a worker remembers, before it starts anew.
+# Distinct words that a task gathers, and whose n-grams it remembers, before it starts anew.
 GATHERED = 1 << 18
+REMEMBERED = 1 << 18
 BITS = 21
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -108,7 +109,8 @@ def profiles(learned: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 class Judge:
     """Compares texts with the profiles of all languages."""
 
-    def __init__(self, rows: list[tuple[str, int, int]]) -> None:
+    def __init__(self, rows: list[tuple[str, int, int]], remembered: int = REMEMBERED) -> None:
+        self.remembered = remembered
         self.langs = sorted({lang for lang, _, _ in rows})
         self.grams = np.array(sorted({gram for _, gram, _ in rows}), np.int64)
         self.places = np.full((len(self.grams) + 1, len(self.langs)), -1, np.int64)
@@ -119,7 +121,7 @@ class Judge:
     def judge(self, text: str) -> tuple[str, float]:
         """The nearest language, ties to the smaller name, and one less its distance as a part of the largest
         possible; UNKNOWN and zero without letters, or when nothing was learned."""
-        if len(self.known) > GATHERED:
+        if len(self.known) > self.remembered:
             self.known.clear()
         distinct, times = counted(collections.Counter(words(text)), self.known)
         if not len(distinct) or not self.langs:
@@ -135,14 +137,15 @@ class Judge:
 
 
 def identify(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             carry: list[str] | None = None) -> DataFrame:
+             carry: list[str] | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """The columns ``carry`` (by default the identifier) of every row of ``docs``, with ``lang_pred, score`` from
     its whole text alone.
 
     Learns from text and language of the rows that the condition ``learn`` selects and that have a language.
     ``lang_pred`` is a learned language, or ``und`` with score 0 for a text that is null or has no letters,
     or if nothing could be learned. ``score`` is between 0 and 1. Repeated rows get equal answers; ties go
-    to the smaller name. An empty table gives an empty result.
+    to the smaller name. An empty table gives an empty result. ``remembered`` words at most keep their n-grams
+    in a task, which takes memory for time.
     """
     spark = docs.sparkSession
     bounded_batches(docs)
@@ -153,7 +156,7 @@ def identify(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "te
     rows = kept if text_col in names else docs.select(*names, text_col)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        judge = Judge(shared.value)
+        judge = Judge(shared.value, remembered)
         for batch in batches:
             found = [judge.judge(t or "") for t in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([
