@@ -137,13 +137,12 @@ def frequent_words(texts: DataFrame, pattern: str, ranks: str) -> tuple[Digests,
     top = most_frequent(written(word_counts(texts, pattern), "bpe-words"), FREQUENT).select("word")
     dealt = top.repartition(max(1, 2 * texts.sparkSession.sparkContext.defaultParallelism))
     encoded = dealt.select("word", latin(F.col("word")).alias("w")).select("word", F.expr(folded("w", ranks)).alias("ids"))
-    words = written(encoded, "bpe-ids").toArrow().combine_chunks()
-    if not len(words):
-        return Digests([]), np.empty(0, np.int64), np.empty(0, np.int32)
-    ids = words.column("ids").combine_chunks()
+    words = written(encoded, "bpe-ids").toArrow()
+    parts = [c for c in words.column("ids").chunks if len(c)]
+    lengths = [c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in parts]
+    ids = [c.flatten().to_numpy(zero_copy_only=False).astype(np.int32) for c in parts]
     return (Digests(w.as_py() for w in words.column("word")),
-            ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64),
-            ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+            np.concatenate([np.empty(0, np.int64), *lengths]), np.concatenate([np.empty(0, np.int32), *ids]))
 
 
 class Encoder:

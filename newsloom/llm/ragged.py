@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Sequence
 
 import numpy as np
 import xxhash
 
+# Digests that are held as Python objects at a time.
+PART = 1 << 16
+
 
 def spread(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places ``first, first + 1, ...`` of each list, one list after the other."""
@@ -51,8 +55,10 @@ class Digests:
 
     @staticmethod
     def _of(words: Iterable[str]) -> np.ndarray:
-        joined = b"".join([xxhash.xxh128_digest(w.encode("utf-8", "surrogatepass")) for w in words])
-        return np.frombuffer(joined, ">u8").astype(np.uint64).reshape(-1, 2)
+        words, found = iter(words), [np.empty(0, np.uint64)]
+        while part := [xxhash.xxh128_digest(w.encode("utf-8", "surrogatepass")) for w in itertools.islice(words, PART)]:
+            found.append(np.frombuffer(b"".join(part), ">u8").astype(np.uint64))
+        return np.concatenate(found).reshape(-1, 2)
 
     def find(self, words: Sequence[str]) -> np.ndarray:
         """The place of each word in the list, -1 where it is not in it."""
