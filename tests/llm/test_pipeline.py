@@ -8,7 +8,8 @@ import duckdb
 import public_tokenizers as P
 import pytest
 import tiktoken
-from test_edge_cases import brute_fingerprint, lowered, reachable
+from test_edge_cases import lowered
+from test_near_copies import staying
 
 from newsloom.llm.byte_bpe import read_ranks
 from newsloom.llm.common import written
@@ -59,13 +60,9 @@ def test_exact_dedup_keeps_the_largest_identifier(stages):
 
 def test_near_dedup_keeps_one_of_each_component(stages):
     rows = stages[2].collect()
-    fps = [brute_fingerprint(r.text) for r in rows]
-    best = {}
-    for r, root in zip(rows, reachable(fps, 3), strict=True):
-        if root not in best or r.doc_id < best[root].doc_id:
-            best[root] = r
-    assert collections.Counter(map(tuple, stages[3].collect())) == collections.Counter(tuple(r) for r in best.values())
-    assert 9006 not in {r.doc_id for r in best.values()}
+    kept = set(staying([(r.doc_id, lowered(r.text)) for r in rows]))
+    assert collections.Counter(map(tuple, stages[3].collect())) == collections.Counter(tuple(r) for r in rows if r.doc_id in kept)
+    assert 9006 not in kept
 
 
 def test_mixing_takes_what_the_sql_says(stages):
