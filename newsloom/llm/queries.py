@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann, byte_bpe, exact_dedup, language, line_dedup, lm_scoring, mixing, simhash, token_counts, url_filter
+from newsloom.llm import (
+    ann, byte_bpe, exact_dedup, filter_audit, language, line_dedup, lm_scoring, merkle, mixing, piece_bpe, simhash,
+    token_counts, url_filter)
 from newsloom.llm.common import table
 from newsloom.registry.base import Registry
 
@@ -124,3 +126,89 @@ def op10_lm_scoring(spark, folder):
     held_out = F.coalesce(remainder == 2, F.lit(False))
     return found.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@add("op11_sentencepiece")
+def op11_sentencepiece(spark, folder):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = piece_bpe.encode(table(spark, folder, "documents"), path, decode=True)
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+FILTER_AUDIT_SQL = r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic, [len(ws) < 100,
+    100 * len(list_distinct(ws)) < 80 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > first, false)] AS fails
+  FROM w LEFT JOIN marks ON w.doc_id = marks.doc_id),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+walked AS (SELECT *, coalesce(list_min([i FOR i IN range(1, 6) IF fails[ascii(substr(o, i, 1)) - 64]]), 6) AS gone
+  FROM cells, orders),
+steps AS (SELECT *, ascii(substr(o, step, 1)) - 64 AS f FROM walked, (SELECT unnest(range(1, 6)) AS step)),
+report AS (SELECT part, o AS filter_order, step::INT AS step, any_value(f) AS f,
+    coalesce(sum(n) FILTER (gone > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (gone = step), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails[f] AND gone < step), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails[f] AND len([x FOR x IN fails IF x]) = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (gone = step), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (gone = step), 0)::BIGINT AS toxic_lost FROM steps GROUP BY part, o, step)
+SELECT * EXCLUDE (f), sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM report"""
+
+
+@add("op12_filter_audit", FILTER_AUDIT_SQL)
+def op12_filter_audit(spark, folder):
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+# Trees as lists of nodes by level; a document's path is folded level by level. DuckDB has no crc32: it is a fold too.
+MERKLE_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, lang, source, n_chars, text, coalesce((xor(list_reduce(
+    [4294967295] || flatten([[ascii(c), 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(doc_id::VARCHAR, '')]),
+    lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295)) % 3 = 0, false) AS hit FROM documents),
+e AS (SELECT doc_id, lang, coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-')
+    || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+    || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS head, text,
+    CASE WHEN hit THEN {SQL_LOWER.format("text")} ELSE text END AS told FROM d),
+leaves AS (SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+  sha256(head || coalesce(octet_length(encode(told)) || ':' || told, '-')) AS claimed FROM e),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM leaves),
+towers AS (SELECT lang, 0 AS level, list(leaf ORDER BY idx) AS nodes FROM placed GROUP BY lang
+  UNION ALL SELECT lang, level + 1,
+    [sha256(array_to_string(list_slice(nodes, 8 * i + 1, 8 * i + 8), '')) FOR i IN range(0, (len(nodes) + 7) // 8)]
+  FROM towers WHERE len(nodes) > 1),
+subroots AS (SELECT lang, nodes[1] AS subroot, level AS depth, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS number
+  FROM towers WHERE len(nodes) = 1),
+crown AS (SELECT 0 AS level, list(subroot ORDER BY number) AS nodes FROM subroots
+  UNION ALL SELECT level + 1,
+    [sha256(array_to_string(list_slice(nodes, 8 * i + 1, 8 * i + 8), '')) FOR i IN range(0, (len(nodes) + 7) // 8)]
+  FROM crown WHERE len(nodes) > 1),
+levels AS (SELECT t.lang, level, nodes, depth, number FROM towers t JOIN subroots s ON t.lang IS NOT DISTINCT FROM s.lang
+    WHERE len(nodes) > 1
+  UNION ALL SELECT lang, depth + level, nodes, depth, number FROM subroots, crown WHERE len(nodes) > 1),
+path AS (SELECT doc_id, p.lang, leaf, idx, level, array_to_string(list_slice(nodes, run + 1, place), '') AS l,
+    array_to_string(list_slice(nodes, place + 2, run + 8), '') AS r
+  FROM (SELECT p.*, level, nodes, place, place - place % 8 AS run FROM (SELECT p.*, level, nodes,
+      CASE WHEN level < depth THEN idx // (8 ** level)::BIGINT ELSE number // (8 ** (level - depth))::BIGINT END AS place
+    FROM placed p JOIN levels v ON p.lang IS NOT DISTINCT FROM v.lang) p) p),
+paths AS (SELECT lang, idx, list(l ORDER BY level) AS ls, list(r ORDER BY level) AS rs FROM path GROUP BY lang, idx),
+folds AS (SELECT p.*, coalesce(ls, []) AS ls, coalesce(rs, []) AS rs FROM placed p
+  LEFT JOIN paths q ON p.lang IS NOT DISTINCT FROM q.lang AND p.idx = q.idx),
+folded AS (SELECT lang, idx, 1 AS k, claimed AS h, ls, rs FROM folds
+  UNION ALL SELECT lang, idx, k + 1, sha256(ls[k] || h || rs[k]), ls, rs FROM folded WHERE k <= len(ls)),
+roots AS (SELECT nodes[1] AS root FROM crown WHERE len(nodes) = 1)
+SELECT f.doc_id, f.leaf, subroot, root, sha256(array_to_string([f.ls[i] || f.rs[i] FOR i IN range(1, len(f.ls) + 1)], ''))
+  AS proof_sha256, h AS folded_root, h = root AS verified
+FROM folds f JOIN folded g ON f.lang IS NOT DISTINCT FROM g.lang AND f.idx = g.idx AND g.k = len(f.ls) + 1
+JOIN subroots s ON f.lang IS NOT DISTINCT FROM s.lang CROSS JOIN roots"""
+
+
+@add("op13_merkle", MERKLE_SQL)
+def op13_merkle(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = merkle.manifest(docs, merkle.lowered_for_a_third(F.col("doc_id"), F.col("text")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
