@@ -133,7 +133,7 @@ def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     has no labels. Labels without a document count nothing. An empty table has no parts and gives no rows; other
     columns are not read.
     """
-    def report(key, cell: pd.DataFrame) -> pd.DataFrame:
+    def report(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
         return part_report(key[0], cell["mask"].to_numpy(), cell[list(COUNTS)].to_numpy(np.int64).T)
 
     return cells(judged(docs, id_col, text_col, part_col), labels).groupBy("part").applyInPandas(report, REPORT)
