@@ -143,30 +143,3 @@ def clean_text(text: Column) -> Column:
 def tags(html: Column) -> Column:
     """All tags of a page in order."""
     return F.regexp_extract_all(without_noise(html), F.lit(TAG), 0)
-
-
-def parent_classes(html: Column) -> Column:
-    """For each ``<a ...>`` tag in page order, the class text of the element that holds it.
-
-    A walk over the page's tags with the stack of open elements; closing a tag closes everything
-    opened since. Stays one row's work, no shuffle.
-    """
-    parsed = F.expr("t -> named_struct("
-                    r"'name', lower(regexp_extract(t, '^</?([A-Za-z][^\\s/>]*)', 1)), "
-                    "'closing', startswith(t, '</'), 'single', endswith(t, '/>'), "
-                    r"'link', rlike(t, '(?i)^<a\\s'), "
-                    f"'cls', {_sql_attribute('t', 'class')})")
-    void = ", ".join(quoted(v) for v in VOID)
-    above = "array_position(reverse(transform(acc.open, o -> o.name)), t.name)"
-    popped = bind(above, "k", "CASE WHEN k > 0 THEN "
-                  "slice(acc.open, 1, size(acc.open) - CAST(k AS INT)) ELSE acc.open END")
-    stack = f"""CASE WHEN t.closing THEN {popped}
-      WHEN t.name = '' OR t.single OR t.name IN ({void}) THEN acc.open
-      ELSE concat(acc.open, array(named_struct('name', t.name, 'cls', t.cls))) END"""
-    found = """CASE WHEN t.link THEN
-      concat(acc.found, array(coalesce(try_element_at(acc.open, -1).cls, ''))) ELSE acc.found END"""
-    start = F.expr("""named_struct('open', CAST(array() AS ARRAY<STRUCT<name: STRING, cls: STRING>>),
-      'found', CAST(array() AS ARRAY<STRING>))""")
-    step = F.expr(f"(acc, t) -> named_struct('open', {stack}, 'found', {found})")
-    walk = F.call_function("transform", tags(html), parsed)
-    return F.call_function("aggregate", walk, start, step, F.expr("acc -> acc.found"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import html as H
 from newsloom.functions import urls as U
-from newsloom.functions.binding import let, settled
+from newsloom.functions import walk as W
+from newsloom.functions.binding import settled
 
 # What marks a link as leading to an article.
 STATIC_PATHS = ("/news/", "/article/", "/story/")
@@ -20,42 +21,28 @@ YEAR_PATHS = r"/20\d\d"
 CARD, CARD_INFO = "card", "card-info"
 RESULTS_PER_PAGE = 10
 
-_ANCHOR = rf"(?is)<a\s{H._ATTRIBUTES}>(?:.*?(?=</a\s*>|<a\s|\z))"
-# Links of a listing page are numbered by part and place; a part has fewer links than this.
-PART_LINKS = 1 << 32
-
 
 def anchors(pages: DataFrame, *kept: str, holders: Column | None = None) -> DataFrame:
-    """One row per link of a page: ``source_url, pos, href, link_class, has_heading``.
+    """One row per link of a page: ``source_url, pos, href, link_class, has_heading, parent_class``.
 
-    ``kept`` names further page columns to carry along. ``holders`` is an array with something for each link;
-    every link takes its own along as ``_holder``, never the array.
+    ``kept`` names further page columns to carry along. Parents are read where ``holders`` holds; elsewhere, and
+    without it, ``parent_class`` is ''.
     """
-    found = F.regexp_extract_all(H.without_noise(F.col("html")), F.lit(_ANCHOR), 0)
-    if holders is not None:
-        kept = (*kept, "_holder")
-        found = F.arrays_zip(found.alias("_a"), F.coalesce(holders, F.array().cast("array<string>")).alias("_holder"))
-        rows = pages.select(*kept[:-1], F.col("url").alias("source_url"), F.posexplode(found).alias("pos", "_z")).select(
-            "*", F.col("_z._a").alias("_a"), F.col("_z._holder").alias("_holder")).filter(F.col("_a").isNotNull())
-    else:
-        rows = pages.select(*kept, F.col("url").alias("source_url"), F.posexplode(found).alias("pos", "_a"))
-    tag = F.regexp_extract("_a", rf"(?is)^<a\s{H._ATTRIBUTES}>", 0)
-    found_links = rows.withColumn("_tag", tag).select(
+    found = W.links(F.col("html"), holders)
+    rows = pages.select(*kept, F.col("url").alias("source_url"), F.posexplode(found).alias("pos", "_l"))
+    tag, holder = F.col("_l.tag"), F.col("_l.holder")
+    found_links = rows.select(
         *kept, "source_url", "pos",
-        F.when(H.has_attribute(F.col("_tag"), "href"), H.attribute(F.col("_tag"), "href")).alias("href"),
-        H.attribute(F.col("_tag"), "class").alias("link_class"),
-        F.rlike("_a", F.lit(r"(?i)<h[23][\s>]")).alias("has_heading"),
-    )
-    return settled(found_links, "href", "link_class", "has_heading").filter(F.col("href").isNotNull())
+        F.when(H.has_attribute(tag, "href"), H.attribute(tag, "href")).alias("href"),
+        H.attribute(tag, "class").alias("link_class"), F.col("_l.heading").alias("has_heading"),
+        F.coalesce(H.attribute(holder, "class"), F.lit("")).alias("parent_class"))
+    return settled(found_links, "href", "link_class", "parent_class").filter(F.col("href").isNotNull())
 
 
 def anchors_with_holder(pages: DataFrame, holder_tokens: tuple[str, ...]) -> DataFrame:
     """Anchors with ``parent_class``. The walk over a page's tags is made only where the page mentions
     one of the tokens; elsewhere no parent can have them."""
-    mentions = F.rlike("html", F.lit("|".join(holder_tokens)))
-    holders = F.when(mentions, H.parent_classes(F.col("html")))
-    return anchors(pages, holders=holders).withColumn(
-        "parent_class", F.coalesce("_holder", F.lit(""))).drop("_holder")
+    return anchors(pages, holders=F.rlike("html", F.lit("|".join(holder_tokens))))
 
 
 def article_like_static(url: Column, link_class: Column, parent_class: Column) -> Column:
@@ -123,45 +110,29 @@ def first_seen(links: DataFrame) -> DataFrame:
 
 
 def card_links(pages: DataFrame) -> DataFrame:
-    """Links of listing cards with the date printed on the card.
+    """Listing links, ``source_url, article_url, listing_date, pos``, with the date printed on their card.
 
-    The page is parted at the opening tags of its cards; a link belongs to a card if it lies within
-    that card's element, and carries no date otherwise. Cards within cards are not told apart.
+    A link's card is the nearest element of that class around it, or the link itself; its date is in the first
+    information element within that card, which may lie in a card within the card. Links without a card, and
+    cards without a date, give ''. ``pos`` counts the listing links of a page.
     """
-    opening = H.open_tag(r"[a-z][a-z0-9]*", H.class_token(CARD))
-    parts = F.split(H.without_noise(F.col("html")), rf"(?={opening})", -1)
-    chunks = pages.select(
-        F.col("url").alias("source_url"), F.posexplode(parts).alias("chunk", "_part"))
-    name = F.lower(F.regexp_extract("_part", r"^<([A-Za-z][A-Za-z0-9]*)", 1))
-    rest = F.regexp_replace("_part", rf"^{opening}", "")
-    is_card = F.rlike("_part", F.lit(rf"^{opening}"))
-    holders = ("div", "li", "article", "section")
-    inside = let(F.struct(name.alias("name"), rest.alias("rest")), lambda c: F.when(is_card, F.coalesce(
-        *[F.when(c["name"] == kind, H.balanced(c["rest"], kind)) for kind in holders], c["rest"])))
-    info = H.open_tag(r"[a-z][a-z0-9]*", H.class_token(CARD_INFO))
-    opened = F.struct(
-        F.lower(F.regexp_extract(F.regexp_extract("_inside", info, 0), r"^<([A-Za-z][A-Za-z0-9]*)", 1)).alias("name"),
-        F.try_element_at(F.split(F.col("_inside"), info, 2), F.lit(2)).alias("rest"))
-    info_kinds = ("div", "span", "p", "li", "section", "time")
-    info_text = H.inner_text(let(opened, lambda c: F.coalesce(
-        *[F.when(c["name"] == kind, H.balanced(c["rest"], kind)) for kind in info_kinds], c["rest"])))
-    card_date = F.coalesce(F.regexp_extract(info_text, r"([0-9]{2}\.[0-9]{2}\.[0-9]{4})", 1), F.lit(""))
-    tagged = chunks.withColumn("_inside", inside).withColumn("_date", card_date)
-    found = F.regexp_extract_all("_part", F.lit(_ANCHOR), 0)
-    rows = tagged.select(
-        "source_url", "chunk", "_date", "_inside", F.posexplode(found).alias("n", "_a"))
-    tag = F.regexp_extract("_a", rf"(?is)^<a\s{H._ATTRIBUTES}>", 0)
-    href = H.attribute(tag, "href")
-    listed = rows.filter(F.rlike(tag, F.lit(rf"(?is)^<a(?=[\s/>]){H.class_token(RENDERED_LINK)}"))).select(
-        "source_url", "chunk", "n",
-        U.resolve_naive(F.col("source_url"), href).alias("article_url"),
-        F.when(F.contains(F.coalesce(F.col("_inside"), F.lit("")), F.col("_a")), F.col("_date"))
-        .otherwise("").alias("listing_date"),
-    ).filter(F.col("article_url").isNotNull())
-    return listed.groupBy("source_url", "article_url").agg(
-        F.min(F.struct("chunk", "n", "listing_date")).alias("_f")
-    ).select("source_url", "article_url", F.col("_f.listing_date").alias("listing_date"),
-             (F.col("_f.chunk").cast("long") * PART_LINKS + F.col("_f.n")).alias("pos"))
+    clean = H.without_noise(F.col("html"))
+    listed = pages.filter(F.contains("html", F.lit(RENDERED_LINK))).select(F.col("url").alias("source_url"), clean.alias("_html"))
+    cut = settled(listed.select("source_url", F.regexp_extract_all("_html", F.lit(H.TAG), 0).alias("_tags"),
+                                F.split("_html", H.TAG, -1).alias("_texts")), "_tags", "_texts")
+    walked = settled(cut.withColumn("_c", W.cards(F.col("_tags"), CARD, CARD_INFO, RENDERED_LINK)), "_c")
+    dates = F.transform(F.col("_c.spans"), lambda s: F.coalesce(F.regexp_extract(
+        H.inner_text(W.between(F.col("_tags"), F.col("_texts"), s["start"], s["end"])),
+        r"([0-9]{2}\.[0-9]{2}\.[0-9]{4})", 1), F.lit("")))
+    dated = settled(walked.select("source_url", "_c", dates.alias("_dates")), "_dates")
+    found = F.transform(F.col("_c.listed"), lambda k: F.struct(
+        k["tag"].alias("tag"), F.get(F.col("_dates"), F.get(F.col("_c.firsts"), k["card"])["first"]).alias("date")))
+    links = dated.select("source_url", F.posexplode(found).alias("pos", "_l")).select(
+        "source_url", "pos", U.resolve_naive(F.col("source_url"), H.attribute(F.col("_l.tag"), "href")).alias("article_url"),
+        F.coalesce("_l.date", F.lit("")).alias("listing_date"))
+    return settled(links, "article_url").filter(F.col("article_url").isNotNull()).groupBy("source_url", "article_url").agg(
+        F.min(F.struct("pos", "listing_date")).alias("_f")).select(
+        "source_url", "article_url", F.col("_f.listing_date").alias("listing_date"), F.col("_f.pos").cast("long").alias("pos"))
 
 
 # --- search results -------------------------------------------------------------------------
