@@ -18,6 +18,7 @@ from newsloom.functions.text import strip
 from newsloom.operators.quality import passes_gate
 from newsloom.profiles import Profile
 from newsloom.schemas import RELEVANCE, SENTIMENTS
+from newsloom.sources.landing import landed
 
 # Annotations of articles that have no reply.
 NEUTRAL = "中立"
@@ -58,6 +59,8 @@ TEMPLATE_TAIL = """
 
 REPLY_FIELDS = "sentiment string, summary string, relevant string"
 REPLY_KEYS = ("sentiment", "summary", "relevant")
+# Places of rows are below this, for up to eight million partitions.
+PLACES = 1 << 56
 
 
 def _message(role: str, content: Column) -> Column:
@@ -211,17 +214,16 @@ def _decode_strict(responses: DataFrame) -> DataFrame:
 def fold_attempts(decoded: DataFrame, max_attempts: int) -> DataFrame:
     """One outcome per article: the first attempt that settles the matter.
 
-    ``outcome`` is ``ok``, ``stop`` or ``error``; articles whose attempts all say ``next`` are absent.
+    ``outcome`` is ``ok``, ``stop`` or ``error``; articles whose attempts all say ``next`` are absent. Decoded
+    replies are landed; the first of each article is found as one number, the attempt above the place of the
+    row, so that of an attempt given twice one counts.
     """
     final = decoded.filter((F.col("attempt") <= max_attempts) & (F.col("kind") != "next"))
-    rest = [c for c in decoded.columns if c != "seq"]
-    return (
-        final.groupBy("seq")
-        .agg(F.min_by(F.struct(*rest), F.col("attempt")).alias("_o"))
-        .select("seq", F.col("_o.kind").alias("outcome"),
-                *[F.col(f"_o.{k}").alias(f"reply_{k}") for k in REPLY_KEYS],
-                F.col("_o.error_text").alias("error_text"))
-    )
+    place = F.col("attempt") * F.lit(PLACES) + F.monotonically_increasing_id()
+    rows = landed(final.withColumn("_place", place), "replies")
+    firsts = rows.groupBy("seq").agg(F.min("_place").alias("_place")).select("_place")
+    return rows.join(firsts, "_place", "left_semi").select(
+        "seq", F.col("kind").alias("outcome"), *[F.col(k).alias(f"reply_{k}") for k in REPLY_KEYS], "error_text")
 
 
 def replies(responses: DataFrame, profile: Profile, max_attempts: int | None = None) -> DataFrame:
@@ -274,11 +276,10 @@ def route(joined: DataFrame, profile: Profile, null_is_error: bool = False) -> D
     }).drop("outcome", "error_text", "has_content", *[f"reply_{k}" for k in REPLY_KEYS])
 
 
-def annotate_with(
-    rows: DataFrame, scorer: Callable[[pd.Series], pd.DataFrame], profile: Profile,
-    concurrency: int | None = None,
+def scored(
+    texts: DataFrame, scorer: Callable[[pd.Series], pd.DataFrame], profile: Profile, concurrency: int | None = None,
 ) -> DataFrame:
-    """Run a caller's scorer on the text of the rows that pass the gate and attach the outcome.
+    """Outcomes by ``seq`` from a caller's scorer on ``texts`` (``seq, content``).
 
     The scorer gets a batch of texts and returns a frame with ``sentiment, summary, relevant`` in the
     same order, missing where it has no answer; it owns its own rate limit. Only the text travels to
@@ -294,16 +295,13 @@ def annotate_with(
     # The type hints decide the kind of UDF and are read at definition time.
     score_batches.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     call = F.pandas_udf(score_batches, REPLY_FIELDS).asNondeterministic()
-    source = rows.repartition(concurrency, "seq") if concurrency else rows
-    scored = source.withColumn("_reply", call(F.when(passes_gate(profile), F.col("content"))))
+    source = texts.repartition(concurrency, "seq") if concurrency else texts
     reply = F.col("_reply")
     complete = reply["sentiment"].isNotNull() & reply["summary"].isNotNull() & reply["relevant"].isNotNull()
     accepted = complete if profile.strict_reply else valid_closed_sets(reply)
-    return scored.withColumns({
-        "outcome": F.when(accepted, "ok"),
-        **{f"reply_{k}": reply[k] for k in REPLY_KEYS},
-        "error_text": F.lit(None).cast("string"),
-    }).drop("_reply")
+    return source.select("seq", call("content").alias("_reply")).select(
+        "seq", F.when(accepted, "ok").alias("outcome"), *[reply[k].alias(f"reply_{k}") for k in REPLY_KEYS],
+        F.lit(None).cast("string").alias("error_text"))
 
 
 # English names of the codes.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.hashing import content_hash
 from newsloom.functions.text import or_empty, preview
 from newsloom.profiles import Profile
+from newsloom.sources.landing import landed
 
 
 def hashed(articles: DataFrame, profile: Profile) -> DataFrame:
@@ -20,44 +21,62 @@ def drop_empty_content(articles: DataFrame) -> DataFrame:
     return articles.filter(F.col("content") != "")
 
 
-def first_per_key(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
-    """One row per key, the one with the lowest ``order``, and the group size as ``copies``.
+def first_rows(narrow: DataFrame, key: str) -> DataFrame:
+    """``seq, copies``: the lowest ``seq`` of every key and the size of its group, NULL being a key too.
 
-    ``min_by`` is combined before the shuffle, so a key that holds a third of all rows sends one row
-    per task. ``dropDuplicates`` would keep an arbitrary row.
+    Both are combined before the shuffle, in a hash aggregate over two numbers: a key that holds a third of all
+    rows sends one row per task. ``dropDuplicates`` would keep an arbitrary row.
     """
-    rest = [c for c in df.columns if c != key]
-    grouped = df.groupBy(key).agg(
-        F.min_by(F.struct(*rest), F.col(order)).alias("_first"), F.count(F.lit(1)).alias("copies"))
-    return grouped.select(key, "_first.*", "copies")
+    return narrow.groupBy(key).agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("copies")).drop(key)
 
 
-def drop_later(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
-    """``df`` without the rows that have an earlier one of the same key; a NULL key has no duplicates.
+def later_rows(narrow: DataFrame, key: str) -> DataFrame:
+    """The ``seq`` of rows that have an earlier one of the same key; a NULL key has no duplicates. Only keys that
+    occur more than once are joined, and a hot one is split, as both sides of the join are plain reads."""
+    firsts = narrow.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_same")).agg(
+        F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
+    return narrow.join(firsts, F.col(key) == F.col("_same")).filter(F.col("seq") > F.col("_first")).select("seq")
 
-    Keys and order are aggregated and joined as narrow rows. Bodies are neither sorted nor aggregated:
-    they only meet the numbers of the losing rows, which Spark broadcasts if they are few.
-    """
-    narrow = df.select(key, order).filter(F.col(key).isNotNull())
-    firsts = narrow.groupBy(F.col(key).alias("_first_key")).agg(
-        F.min(order).alias("_first"), F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
-    losers = narrow.join(firsts, F.col(key) == F.col("_first_key")).filter(F.col(order) > F.col("_first")).select(order)
-    return df.join(losers, order, "left_anti").select(*df.columns)
+
+def _narrow(articles: DataFrame, profile: Profile, carried: dict[str, Column]) -> DataFrame:
+    """``seq, content_hash`` and what else is asked for of every article the profile looks at, landed: here the text
+    is read and hashed, once."""
+    rows = drop_empty_content(articles) if profile.drops_empty_content else articles
+    return landed(hashed(rows, profile).select(
+        "seq", "content_hash", *[value.alias(name) for name, value in carried.items()]), "hashed")
+
+
+def unique_rows(articles: DataFrame, profile: Profile, **carried: Column) -> DataFrame:
+    """``seq, content_hash`` of the unique articles with ``carried`` values, which may be computed from the text: one
+    pass over it, whatever is asked for."""
+    narrow = _narrow(articles, profile, carried)
+    return narrow.join(later_rows(narrow, "content_hash"), "seq", "left_anti")
 
 
 def deduplicate(articles: DataFrame, profile: Profile) -> DataFrame:
-    """Unique articles. Profile A also discards rows without content and keeps the hash column."""
+    """Unique articles with their bodies. Profile A also discards rows without content and keeps the hash column.
+
+    A body is read twice, for its hash and for the result, and never moves: it only meets the numbers of the
+    losing rows, which Spark broadcasts if they are few. Without need of bodies, take ``unique_rows``.
+    """
+    losers = later_rows(_narrow(articles, profile, {}), "content_hash")
     rows = drop_empty_content(articles) if profile.drops_empty_content else articles
-    unique = drop_later(hashed(rows, profile), "content_hash")
-    if profile.keeps_hash:
-        return unique.select(*articles.columns, "content_hash")
-    return unique.select(*articles.columns)
+    unique = rows.join(losers, "seq", "left_anti").select(*articles.columns)
+    return hashed(unique, profile) if profile.keeps_hash else unique
+
+
+def unique_rows_by(articles: DataFrame, key: Column, **carried: Column) -> DataFrame:
+    """``seq`` and ``carried`` values of unique articles by any other key, for example URL or title. Without a key, NULL
+    or empty, an article is nobody's duplicate and stays."""
+    named = {"_key": F.nullif(key, F.lit("")), **carried}
+    narrow = landed(articles.select("seq", *[value.alias(name) for name, value in named.items()]), "keyed")
+    return narrow.join(later_rows(narrow, "_key"), "seq", "left_anti").drop("_key")
 
 
 def deduplicate_by(articles: DataFrame, key: Column) -> DataFrame:
-    """Unique articles by any other key, for example URL or title. Without a key, NULL or empty, an article
-    is nobody's duplicate and stays."""
-    return drop_later(articles.withColumn("_key", F.nullif(key, F.lit(""))), "_key").select(*articles.columns)
+    """The same with all columns of the articles."""
+    narrow = landed(articles.select("seq", F.nullif(key, F.lit("")).alias("_key")), "keyed")
+    return articles.join(later_rows(narrow, "_key"), "seq", "left_anti").select(*articles.columns)
 
 
 def duplicate_counts(articles: DataFrame, profile: Profile) -> DataFrame:
@@ -76,13 +95,7 @@ def duplicate_counts(articles: DataFrame, profile: Profile) -> DataFrame:
 
 
 def duplicate_report(articles: DataFrame, profile: Profile) -> DataFrame:
-    """Every removed row with the start of its headline.
-
-    First rows come from a pre-combined ``min``; the rest is found by an anti join on the unique
-    ``seq``, so no task ever holds one hash's whole group.
-    """
-    rows = drop_empty_content(articles) if profile.drops_empty_content else articles
-    narrow = hashed(rows, profile).select(
-        "seq", "content_hash", preview(F.col("headline"), 50).alias("headline_start"))
-    firsts = narrow.groupBy("content_hash").agg(F.min("seq").alias("seq")).select("seq")
-    return narrow.join(firsts, "seq", "left_anti")
+    """Every removed row with the start of its headline, in one pass over the text. No task ever holds one hash's
+    whole group."""
+    narrow = _narrow(articles, profile, {"headline_start": preview(F.col("headline"), 50)})
+    return narrow.join(later_rows(narrow, "content_hash"), "seq", "left_semi")

@@ -16,6 +16,7 @@ from newsloom.functions.text import preview
 from newsloom.schemas import (
     FACTOR_LIMIT, HASH_LIMIT, RELEVANCE, SENTIMENTS, STATUSES, STORED_ARTICLE,
 )
+from newsloom.sources.landing import landed
 
 REQUIRED = ("content_hash", "headline", "sentiment", "summary", "relevant", "processing_status")
 
@@ -80,22 +81,29 @@ def own_violations(processed: DataFrame, date_mode: str = "strict") -> Column:
     return F.array_compact(F.array(*rules))
 
 
-def check(batch: DataFrame, stored: DataFrame | None = None, date_mode: str = "strict") -> DataFrame:
-    """Add ``violations`` to every row of a batch in insertion order ``seq``.
+def verdicts(batch: DataFrame, stored: DataFrame | None = None, date_mode: str = "strict") -> DataFrame:
+    """``seq, content_hash, violations`` of every row of a batch in insertion order ``seq``.
 
-    The first row of a hash that is valid by itself and not stored yet takes the hash. Winners are
-    found on narrow rows and joined back on the unique ``seq``, so one hash with a third of the batch
-    never meets in one task.
+    The batch is read once; the narrow rows that come of it are landed. The first row of a hash that is valid by
+    itself and not stored yet takes the hash. Winners are found by a hash aggregate and joined back on the unique
+    ``seq``, so one hash with a third of the batch never meets in one task.
     """
-    rows = batch.withColumn("_own", own_violations(batch, date_mode))
-    firsts = rows.filter(F.size("_own") == 0).groupBy("content_hash").agg(F.min("seq").alias("seq"))
-    if stored is not None:
-        firsts = firsts.join(stored.select("content_hash"), "content_hash", "left_anti")
-    winners = firsts.select("seq", F.lit(True).alias("_winner"))
+    rows = landed(batch.select("seq", "content_hash", own_violations(batch, date_mode).alias("_own")), "judged")
+    winners = _winners(rows.filter(F.size("_own") == 0), stored).select("seq", F.lit(True).alias("_winner"))
     taken = (F.size("_own") == 0) & F.col("_winner").isNull()
-    return rows.join(winners, "seq", "left").withColumn(
-        "violations", F.when(taken, F.array(F.lit("content_hash_taken"))).otherwise(F.col("_own"))
-    ).drop("_own", "_winner")
+    return rows.join(winners, "seq", "left").select("seq", "content_hash", F.when(
+        taken, F.array(F.lit("content_hash_taken"))).otherwise(F.col("_own")).alias("violations"))
+
+
+def _winners(valid: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """``content_hash, seq``: the first of the valid rows of every hash that is not stored."""
+    firsts = valid.groupBy("content_hash").agg(F.min("seq").alias("seq"))
+    return firsts if stored is None else firsts.join(stored.select("content_hash"), "content_hash", "left_anti")
+
+
+def check(batch: DataFrame, stored: DataFrame | None = None, date_mode: str = "strict") -> DataFrame:
+    """The batch with ``violations`` of every row; see ``verdicts``."""
+    return batch.join(verdicts(batch, stored, date_mode).select("seq", "violations"), "seq").select(*batch.columns, "violations")
 
 
 def accepted(checked: DataFrame) -> DataFrame:
@@ -107,12 +115,11 @@ def rejected(checked: DataFrame) -> DataFrame:
 
 
 def insertable(batch: DataFrame, stored: DataFrame | None = None, date_mode: str = "strict") -> DataFrame:
-    """Just the rows an insert would take, without the join that labels the others."""
-    valid = batch.filter(F.size(own_violations(batch, date_mode)) == 0)
-    rest = [c for c in batch.columns if c != "content_hash"]
-    firsts = valid.groupBy("content_hash").agg(F.min_by(F.struct(*rest), "seq").alias("_r")).select(
-        "content_hash", "_r.*").select(*batch.columns)
-    return firsts if stored is None else only_new(firsts, stored)
+    """Just the rows an insert would take, without the verdicts of the others. Numbers of winners are found among
+    landed hashes and joined to the batch."""
+    valid = F.size(own_violations(batch, date_mode)) == 0
+    rows = landed(batch.filter(valid).select("content_hash", "seq"), "valid")
+    return batch.join(_winners(rows, stored).select("seq"), "seq", "left_semi").select(*batch.columns)
 
 
 def batch_counts(checked: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """From raw articles to processed articles and run statistics.
 
-The text is read once, in the scan stage, where the hash and all counts are computed. Only narrow rows
-are shuffled: duplicates are combined before the shuffle, and article bodies never cross it. The price
-is that duplicates are measured too.
+The text is read once, in the scan stage, where the hash and all counts are computed. These narrow rows
+are landed; the first row of each hash is found among them and joined by number. Article bodies are neither
+sorted, aggregated nor shuffled. The price is that duplicates are measured too. A scorer's texts are read
+after that, those of the articles that need a score alone.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from newsloom.operators import annotate as N
 from newsloom.operators import dedup as D
 from newsloom.operators import quality as Q
 from newsloom.profiles import Profile
+from newsloom.sources.landing import landed
 
 NARROW = ("date", "headline", "article_url", "source_url")
 MEASURES = ("content_length", "sentence_count", "tech_keyword_count")
@@ -26,29 +28,23 @@ METRICS = (*MEASURES, "quality_score", "quality_factors")
 RESULT = ("sentiment", "summary", "relevant", "processing_status")
 
 
-def measured_groups(
-    articles: DataFrame, profile: Profile, keywords: Sequence[str] | None = None,
-    null_is_error: bool = False, with_content: bool = False,
+def measured(
+    articles: DataFrame, profile: Profile, keywords: Sequence[str] | None = None, null_is_error: bool = False,
 ) -> DataFrame:
-    """One row per content hash with the first article's metrics and the number of ``copies``.
-
-    Rows without content that the profile discards form the group with a NULL hash. With
-    ``with_content`` the text of articles that pass the gate travels along, for a scorer.
-    """
+    """Hash and metrics of every article, landed; the hash is NULL without content that the profile discards."""
     content = F.col("content")
     flag = content != "" if null_is_error else or_empty(content) != ""
     text = F.coalesce(content, F.lit("None" if null_is_error else ""))
     identity = content_hash(F.col("headline"), text, profile)
     if profile.drops_empty_content:
         identity = F.when(flag, identity)
-    rows = Q.assess(articles, profile, keywords).withColumns(
-        {"has_content": flag, "content_hash": identity})
-    columns = ["seq", *NARROW, "has_content", *MEASURES]
-    if with_content:
-        rows = rows.withColumn("content", F.when(Q.passes_gate(profile), content))
-        columns.append("content")
-    unique = D.first_per_key(rows.select("content_hash", *columns), "content_hash")
-    return Q.grade(unique, profile)
+    rows = Q.measure(articles, profile, keywords).withColumns({"has_content": flag, "content_hash": identity})
+    return landed(rows.select("seq", *NARROW, "content_hash", "has_content", *MEASURES), "measured")
+
+
+def groups_of(narrow: DataFrame, profile: Profile) -> DataFrame:
+    """One row per content hash, NULL being one, with the first article's metrics and the number of ``copies``."""
+    return Q.grade(narrow.join(D.first_rows(narrow, "content_hash"), "seq"), profile)
 
 
 def _output(routed: DataFrame, profile: Profile) -> DataFrame:
@@ -66,7 +62,7 @@ def process(
 
 
 def _routed(articles, responses, profile, keywords, null_is_error):
-    groups = measured_groups(articles, profile, keywords, null_is_error)
+    groups = groups_of(measured(articles, profile, keywords, null_is_error), profile)
     joined = N.attach(groups, N.replies(responses, profile))
     return N.route(joined, profile, null_is_error)
 
@@ -76,9 +72,14 @@ def process_with_scorer(
     keywords: Sequence[str] | None = None, concurrency: int | None = None,
 ) -> DataFrame:
     """The same with a scorer function in place of stored replies."""
-    groups = measured_groups(articles, profile, keywords, with_content=True)
-    scored = N.annotate_with(groups, scorer, profile, concurrency).drop("content")
-    return _output(N.route(scored, profile), profile)
+    narrow = measured(articles, profile, keywords)
+    groups = groups_of(narrow, profile)
+    wanted = groups.filter(F.col("content_hash").isNotNull() & F.col("has_content") & Q.passes_gate(profile))
+    # Texts meet the numbers of those that need no score; these are the fewer, and Spark broadcasts them if they are few.
+    unscored = narrow.select("seq").join(wanted.select("seq"), "seq", "left_anti")
+    texts = articles.select("seq", "content").join(unscored, "seq", "left_anti")
+    outcomes = N.scored(texts, scorer, profile, concurrency)
+    return _output(N.route(N.attach(groups, outcomes), profile), profile)
 
 
 def summary_of(processed: DataFrame) -> DataFrame:

@@ -84,15 +84,15 @@ def hash_b(spark, folder):
 @add("d3_dedup_a", f"""WITH {V.ARTICLES} SELECT seq, headline, length(content) AS chars, {V.sql_hash_a()} AS content_hash
 FROM art WHERE content <> '' QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY seq) = 1""")
 def dedup_a(spark, folder):
-    return D.deduplicate(V.articles(spark, folder), PROFILE_A).select(
-        "seq", "headline", F.length("content").cast("long").alias("chars"), "content_hash")
+    return D.unique_rows(V.articles(spark, folder), PROFILE_A, headline=F.col("headline"),
+                         chars=F.length("content").cast("long")).select("seq", "headline", "chars", "content_hash")
 
 
 @add("d4_dedup_b", f"""WITH {V.ARTICLES} SELECT seq, headline, length(content) AS chars FROM art
 QUALIFY row_number() OVER (PARTITION BY {V.HASH_B} ORDER BY seq) = 1""")
 def dedup_b(spark, folder):
-    return D.deduplicate(V.articles(spark, folder), PROFILE_B).select(
-        "seq", "headline", F.length("content").cast("long").alias("chars"))
+    return D.unique_rows(V.articles(spark, folder), PROFILE_B, headline=F.col("headline"),
+                         chars=F.length("content").cast("long")).drop("content_hash")
 
 
 def _counts_sql(identity, drops):
@@ -135,14 +135,14 @@ QUALIFY coalesce({key}, '') = '' OR row_number() OVER (PARTITION BY {key} ORDER
 
 @add("e2_dedup_by_url", _by_key_sql("article_url"))
 def dedup_by_url(spark, folder):
-    return D.deduplicate_by(V.articles(spark, folder).drop("content"), F.col("article_url")).select(
-        "seq", "headline", "article_url")
+    return D.unique_rows_by(V.articles(spark, folder), F.col("article_url"), headline=F.col("headline"),
+                            article_url=F.col("article_url"))
 
 
 @add("e2_dedup_by_title", _by_key_sql("headline"))
 def dedup_by_title(spark, folder):
-    return D.deduplicate_by(V.articles(spark, folder).drop("content"), F.col("headline")).select(
-        "seq", "headline", "article_url")
+    return D.unique_rows_by(V.articles(spark, folder), F.col("headline"), headline=F.col("headline"),
+                            article_url=F.col("article_url"))
 
 
 # --- quality --------------------------------------------------------------------------------

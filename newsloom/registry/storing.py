@@ -106,7 +106,7 @@ def stored_before(spark, folder):
 
 
 def _checked(spark, folder):
-    return S.check(batch(spark, folder), stored_before(spark, folder))
+    return S.verdicts(batch(spark, folder), stored_before(spark, folder))
 
 
 @add("r7_constraint_check", f"{BATCH} SELECT seq, content_hash, violations FROM checked")

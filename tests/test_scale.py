@@ -1,6 +1,7 @@
 """Hot groups against brute force, and the shape of physical plans."""
 
 import random
+import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -109,7 +110,8 @@ def test_page_plan(spark):
 
 def test_flagship_never_shuffles_bodies(spark, small):
     text = plan(contract.queries()["n10_run_summary_a"](spark, small))
-    assert text.count("FileScan") <= 2
+    # What is left are landed narrow rows; tests/test_passes.py holds how they come about.
+    assert not re.search(r"FileScan parquet \[[^\]]*\b(text|content)#", text)
     for line in text.splitlines():
         if "Exchange" in line:
             assert "content#" not in line
