@@ -23,28 +23,28 @@ from newsloom.profiles import Profile
 from newsloom.sources.landing import landed
 
 NARROW = ("date", "headline", "article_url", "source_url")
-MEASURES = ("content_length", "sentence_count", "tech_keyword_count")
-METRICS = (*MEASURES, "quality_score", "quality_factors")
+METRICS = ("content_length", "sentence_count", "tech_keyword_count", "quality_score", "quality_factors")
 RESULT = ("sentiment", "summary", "relevant", "processing_status")
 
 
 def measured(
     articles: DataFrame, profile: Profile, keywords: Sequence[str] | None = None, null_is_error: bool = False,
+    columns: Sequence[str] = (*NARROW, *METRICS),
 ) -> DataFrame:
-    """Hash and metrics of every article, landed; the hash is NULL without content that the profile discards."""
+    """``columns`` with the hash of every article, landed; the hash is NULL without content that the profile discards."""
     content = F.col("content")
     flag = content != "" if null_is_error else or_empty(content) != ""
     text = F.coalesce(content, F.lit("None" if null_is_error else ""))
     identity = content_hash(F.col("headline"), text, profile)
     if profile.drops_empty_content:
         identity = F.when(flag, identity)
-    rows = Q.measure(articles, profile, keywords).withColumns({"has_content": flag, "content_hash": identity})
-    return landed(rows.select("seq", *NARROW, "content_hash", "has_content", *MEASURES), "measured")
+    rows = Q.assess(articles, profile, keywords).withColumns({"has_content": flag, "content_hash": identity})
+    return landed(rows.select("seq", "content_hash", "has_content", *columns), "measured")
 
 
-def groups_of(narrow: DataFrame, profile: Profile) -> DataFrame:
-    """One row per content hash, NULL being one, with the first article's metrics and the number of ``copies``."""
-    return Q.grade(narrow.join(D.first_rows(narrow, "content_hash"), "seq"), profile)
+def groups_of(narrow: DataFrame) -> DataFrame:
+    """One row per content hash, NULL being one, with the first article's columns and the number of ``copies``."""
+    return narrow.join(D.first_rows(narrow, "content_hash"), "seq")
 
 
 def _output(routed: DataFrame, profile: Profile) -> DataFrame:
@@ -58,12 +58,12 @@ def process(
     keywords: Sequence[str] | None = None, null_is_error: bool = False,
 ) -> DataFrame:
     """Processed articles: unique, scored, annotated from the table of replies, with a status."""
-    return _output(_routed(articles, responses, profile, keywords, null_is_error), profile)
+    narrow = measured(articles, profile, keywords, null_is_error)
+    return _output(_routed(narrow, responses, profile, null_is_error), profile)
 
 
-def _routed(articles, responses, profile, keywords, null_is_error):
-    groups = groups_of(measured(articles, profile, keywords, null_is_error), profile)
-    joined = N.attach(groups, N.replies(responses, profile))
+def _routed(narrow, responses, profile, null_is_error):
+    joined = N.attach(groups_of(narrow), N.replies(responses, profile))
     return N.route(joined, profile, null_is_error)
 
 
@@ -73,7 +73,7 @@ def process_with_scorer(
 ) -> DataFrame:
     """The same with a scorer function in place of stored replies."""
     narrow = measured(articles, profile, keywords)
-    groups = groups_of(narrow, profile)
+    groups = groups_of(narrow)
     wanted = groups.filter(F.col("content_hash").isNotNull() & F.col("has_content") & Q.passes_gate(profile))
     # Texts meet the numbers of those that need no score; these are the fewer, and Spark broadcasts them if they are few.
     unscored = narrow.select("seq").join(wanted.select("seq"), "seq", "left_anti")
@@ -108,7 +108,8 @@ def run_summary(
     keywords: Sequence[str] | None = None, null_is_error: bool = False,
 ) -> DataFrame:
     """Statistics of a run in one row, from the same single pass over the text."""
-    routed = _routed(articles, responses, profile, keywords, null_is_error)
+    narrow = measured(articles, profile, keywords, null_is_error, ("quality_score",))
+    routed = _routed(narrow, responses, profile, null_is_error)
     real = F.col("content_hash").isNotNull()
     copies = F.col("copies")
     zero = F.lit(0).cast("long")
