@@ -113,6 +113,12 @@ def has_reply_keys(text: Column) -> Column:
     )
 
 
+def identity_of(rows: DataFrame) -> str:
+    """What replies name their article by: its number ``seq``, or ``content_hash`` where numbers do not last, as in
+    scheduled runs that number every batch anew."""
+    return "seq" if "seq" in rows.columns else "content_hash"
+
+
 def decode_replies(responses: DataFrame, profile: Profile) -> DataFrame:
     """Classify each attempt: ``ok`` carries a reply, ``next`` lets another attempt count, ``stop``
     ends in failure, ``error`` ends in an error message."""
@@ -133,11 +139,12 @@ def _opened(responses: DataFrame) -> DataFrame:
 
 
 def _outcome(responses: DataFrame, kind: Column, reply: Column, message: Column) -> DataFrame:
+    key = identity_of(responses)
     rows = settled(responses.select(
-        "seq", "attempt", kind.alias("kind"), reply.alias("_reply"), message.alias("_message")),
+        key, "attempt", kind.alias("kind"), reply.alias("_reply"), message.alias("_message")),
         "kind", "_reply", "_message")
     return rows.select(
-        "seq", "attempt", "kind",
+        key, "attempt", "kind",
         *[F.when(F.col("kind") == "ok", F.col("_reply")[k]).alias(k) for k in REPLY_KEYS],
         F.when(F.col("kind") == "error", F.col("_message")).alias("error_text"),
     )
@@ -221,9 +228,10 @@ def fold_attempts(decoded: DataFrame, max_attempts: int) -> DataFrame:
     final = decoded.filter((F.col("attempt") <= max_attempts) & (F.col("kind") != "next"))
     place = F.col("attempt") * F.lit(PLACES) + F.monotonically_increasing_id()
     rows = landed(final.withColumn("_place", place), "replies")
-    firsts = rows.groupBy("seq").agg(F.min("_place").alias("_place")).select("_place")
+    key = identity_of(decoded)
+    firsts = rows.groupBy(key).agg(F.min("_place").alias("_place")).select("_place")
     return rows.join(firsts, "_place", "left_semi").select(
-        "seq", F.col("kind").alias("outcome"), *[F.col(k).alias(f"reply_{k}") for k in REPLY_KEYS], "error_text")
+        key, F.col("kind").alias("outcome"), *[F.col(k).alias(f"reply_{k}") for k in REPLY_KEYS], "error_text")
 
 
 def replies(responses: DataFrame, profile: Profile, max_attempts: int | None = None) -> DataFrame:
@@ -233,8 +241,8 @@ def replies(responses: DataFrame, profile: Profile, max_attempts: int | None = N
 # --- routing --------------------------------------------------------------------------------
 
 def attach(scored: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Bring each article its outcome, if it has one; ``seq`` is unique on both sides."""
-    return scored.join(outcomes, "seq", "left")
+    """Bring each article its outcome, if it has one; the identity is unique on both sides."""
+    return scored.join(outcomes, identity_of(outcomes), "left")
 
 
 def route(joined: DataFrame, profile: Profile, null_is_error: bool = False) -> DataFrame:

@@ -89,13 +89,13 @@ def verdicts(batch: DataFrame, stored: DataFrame | None = None, date_mode: str =
     ``seq``, so one hash with a third of the batch never meets in one task.
     """
     rows = landed(batch.select("seq", "content_hash", own_violations(batch, date_mode).alias("_own")), "judged")
-    winners = _winners(rows.filter(F.size("_own") == 0), stored).select("seq", F.lit(True).alias("_winner"))
+    first = winners(rows.filter(F.size("_own") == 0), stored).select("seq", F.lit(True).alias("_winner"))
     taken = (F.size("_own") == 0) & F.col("_winner").isNull()
-    return rows.join(winners, "seq", "left").select("seq", "content_hash", F.when(
+    return rows.join(first, "seq", "left").select("seq", "content_hash", F.when(
         taken, F.array(F.lit("content_hash_taken"))).otherwise(F.col("_own")).alias("violations"))
 
 
-def _winners(valid: DataFrame, stored: DataFrame | None) -> DataFrame:
+def winners(valid: DataFrame, stored: DataFrame | None) -> DataFrame:
     """``content_hash, seq``: the first of the valid rows of every hash that is not stored."""
     firsts = valid.groupBy("content_hash").agg(F.min("seq").alias("seq"))
     return firsts if stored is None else firsts.join(stored.select("content_hash"), "content_hash", "left_anti")
@@ -119,7 +119,7 @@ def insertable(batch: DataFrame, stored: DataFrame | None = None, date_mode: str
     landed hashes and joined to the batch."""
     valid = F.size(own_violations(batch, date_mode)) == 0
     rows = landed(batch.filter(valid).select("content_hash", "seq"), "valid")
-    return batch.join(_winners(rows, stored).select("seq"), "seq", "left_semi").select(*batch.columns)
+    return batch.join(winners(rows, stored).select("seq"), "seq", "left_semi").select(*batch.columns)
 
 
 def batch_counts(checked: DataFrame) -> DataFrame:

@@ -16,6 +16,12 @@ def child_names(spark: SparkSession, root: str) -> list[str]:
     return sorted(status.getPath().getName() for status in system.listStatus(path))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all that is in it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def numbers(spark: SparkSession, root: str, prefix: str) -> list[int]:
     """The numbers of children called ``<prefix><number>``."""
     found = (re.fullmatch(re.escape(prefix) + r"(\d+)", name) for name in child_names(spark, root))

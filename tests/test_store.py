@@ -22,8 +22,8 @@ from newsloom.streaming.incremental import ingest, raw_stream
 SAMPLE = os.environ.get("NEWSLOOM_SAMPLE", "")
 BASE = {
     "date": "2025-01-01", "headline": "A stored article", "article_url": "https://example.com/a",
-    "source_url": "https://example.com", "content_hash": "test_hash_12345", "quality_score": 8,
-    "quality_factors": ["excellent_length", "technical_content", "has_date"], "content_length": 1500,
+    "source_url": "https://example.com", "content_hash": "kept-0042", "quality_score": 8,
+    "quality_factors": ["long", "on_topic", "dated"], "content_length": 1500,
     "sentence_count": 15, "tech_keyword_count": 5, "sentiment": "中立", "summary": "一篇文章",
     "relevant": "是", "processing_status": "success",
 }
@@ -52,7 +52,7 @@ def test_constraints(spark):
     checked = S.check(rows, stored)
     assert S.batch_counts(checked).first().asDict() == {"successful": 3, "failed": 9}
     direct = {r.content_hash for r in S.insertable(rows, stored).collect()}
-    assert direct == {r.content_hash for r in S.accepted(checked).collect()} == {"test_hash_12345", "h5", "late"}
+    assert direct == {r.content_hash for r in S.accepted(checked).collect()} == {"kept-0042", "h5", "late"}
     assert S.rejected(checked).count() == 9
     lenient = S.check(rows, stored, "lenient").orderBy("seq").collect()
     assert lenient[6].violations == []
@@ -65,17 +65,17 @@ def test_store_life_cycle(spark, tmp_path):
     store.insert(batch(spark, {}, {"content_hash": "h2", "date": "2025-03-01", "processing_status": "failed"}))
     articles, factors = store.articles(), store.factors()
     assert S.count_rows(articles).first()[0] == 3
-    row = S.by_hash(articles, factors, "test_hash_12345").first()
+    row = S.by_hash(articles, factors, "kept-0042").first()
     assert row.quality_factors == BASE["quality_factors"] and row.date == datetime.date(2025, 1, 1)
     assert S.by_hash(articles, factors, "h1").first().quality_factors is None
     assert S.by_hash(articles, factors, "nobody").count() == 0
     days = S.by_date_range(articles, factors, "2025-01-01", "2025-02-01").collect()
-    assert [(r.content_hash, len(r.quality_factors)) for r in days] == [("h1", 0), ("test_hash_12345", 3)]
-    assert {r.content_hash for r in S.recent(articles, factors, 3).collect()} == {"h1", "h2", "test_hash_12345"}
+    assert [(r.content_hash, len(r.quality_factors)) for r in days] == [("h1", 0), ("kept-0042", 3)]
+    assert {r.content_hash for r in S.recent(articles, factors, 3).collect()} == {"h1", "h2", "kept-0042"}
     assert S.find(articles, F.col("processing_status") == "failed").count() == 1
-    gone = spark.createDataFrame([("test_hash_12345",), ("nobody",)], "content_hash string")
+    gone = spark.createDataFrame([("kept-0042",), ("nobody",)], "content_hash string")
     assert {r.content_hash: r.deleted for r in S.deletion_report(articles, gone).collect()} == {
-        "test_hash_12345": True, "nobody": False}
+        "kept-0042": True, "nobody": False}
     before = {r.content_hash: r.created_at for r in articles.collect()}
     store.delete(gone)
     assert {r.content_hash for r in store.articles().collect()} == {"h1", "h2"}
