@@ -131,10 +131,11 @@ def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(texts: DataFrame, pattern: str, ranks: str) -> tuple[Digests, np.ndarray, np.ndarray]:
+def frequent_words(
+        texts: DataFrame, pattern: str, ranks: str, most: int = FREQUENT) -> tuple[Digests, np.ndarray, np.ndarray]:
     """The most frequent pre-tokens, by digest, with the number of their ids and all ids together. Their number
-    and length are bounded by FREQUENT and LONG."""
-    top = most_frequent(written(word_counts(texts, pattern), "bpe-words"), FREQUENT).select("word")
+    and length are bounded by ``most`` and LONG."""
+    top = most_frequent(written(word_counts(texts, pattern), "bpe-words"), most).select("word")
     dealt = top.repartition(max(1, 2 * texts.sparkSession.sparkContext.defaultParallelism))
     encoded = dealt.select("word", latin(F.col("word")).alias("w")).select("word", F.expr(folded("w", ranks)).alias("ids"))
     words = written(encoded, "bpe-ids").toArrow()
@@ -247,16 +248,18 @@ def _segments(texts: DataFrame, path: str, pattern: str, known) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {id_type}, parts array<struct<ids array<int>, word string>>")
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+           frequent: int = FREQUENT) -> DataFrame:
     """``doc_id, ids`` of every row: the ids of the whole text as ``array<int>``.
 
+    ``frequent`` bounds the pre-tokens that are encoded once and broadcast, and with them the driver's memory.
     ``path`` is a file of ranks, readable on every executor. Null and empty texts have no ids. Rows with
     equal identifiers are encoded one by one; a null identifier stays null. Special strings are ordinary
     text. An empty table gives an empty result.
     """
     ranks = rank_literal(read_ranks(path))
     texts = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), or_blank(F.col(text_col)).alias("text"))
-    known = docs.sparkSession.sparkContext.broadcast(frequent_words(texts, pattern, ranks))
+    known = docs.sparkSession.sparkContext.broadcast(frequent_words(texts, pattern, ranks, frequent))
     rest = folded("decode(encode(p.word, 'utf-8'), 'iso-8859-1')", "rank_table")
     joined = bind(ranks, "rank_table", f"flatten(transform(parts, p -> if(p.word is null, p.ids, concat(p.ids, {rest}))))")
     return _segments(texts, path, pattern, known).select("doc_id", F.expr(joined).alias("ids"))
