@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.binding import settled
 from newsloom.llm.common import ascii_lower, or_blank
 
 # The rules of the contract as (host, path, verdict).
@@ -89,7 +90,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     listed = _keyed(usable, "rule_host", "rule_path").withColumnRenamed("digest", "rule_digest")
     candidates = _keyed(expressions(urls, usable), "suffix", "prefix").join(listed, "short")
-    fitting = candidates.filter(F.col("digest") == F.col("rule_digest"))
+    # Spark would make the confirmation a join key; so it stays above the join, which is on the short prefix alone.
+    fitting = settled(candidates.withColumn("same", F.col("digest") == F.col("rule_digest")), "same").filter("same")
     ranking = F.struct(
         -(F.length("rule_host") + F.length("rule_path")), -F.length("rule_host"),
         F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict")

@@ -43,7 +43,8 @@ def test_held_out_language(spark, small):
 def test_hot_url_and_state_plans(spark, small):
     """No text of unique documents moves in exact dedup, and the URL join is on short digests."""
     judged = url_filter.judge_urls(table(spark, small, "pages"), url_filter.rule_table(spark))
-    assert "short" in judged._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in judged._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert len(joins) == 1 and "short#" in joins[0] and "digest" not in joins[0]
     rows = exact_dedup.contents(table(spark, small, "documents"), "doc_id", "text", exact_dedup.sha256)
     none = spark.createDataFrame([], "digest binary")
     assert exact_dedup.only_hits(rows, none).count() == 0
