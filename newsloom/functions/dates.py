@@ -11,6 +11,7 @@ LENIENT_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "MM.dd.yyyy", "MM.dd.yy", "MMMM d
 
 def card_date(text: Column) -> Column:
     """Bring ``MM.DD.YY`` and ``YYYY-MM-DD`` to ``MM.DD.YYYY``; anything else stays."""
+    # The two shapes that are brought into the third.
     short = r"^(\d{2})\.(\d{2})\.(\d{2})\n?$"
     iso = r"^(\d{4})-(\d{2})-(\d{2})\n?$"
     return (
