@@ -7,8 +7,8 @@ verified: of two segments, one differs in at most one bit when three bits differ
 
 Scale: a text is read once and becomes one number. Equal fingerprints are one row from then on, so a group
 of copies counts once whatever its size. Fingerprints that crowd a segment's value would meet in all pairs
-there; those are first linked through the points of their Hamming balls of radius one, where one row per
-fingerprint and point suffices, and only pairs that this leaves apart are compared.
+there; those are linked through the points of their Hamming balls instead, where some hundred rows for each
+fingerprint suffice however many share the value.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ DISTANCE = 3
 HALF = 32
 BLOCK = 1 << 16
 # Fingerprints that share a segment's value are compared one by one up to this many; beyond it they are
-# linked through their Hamming balls first. Both ways give the same components.
+# linked through their Hamming balls. Both ways give the same components.
 CROWD = 64
 
 
@@ -84,47 +84,58 @@ def _ball(segments: DataFrame) -> DataFrame:
     return segments.withColumn("value", F.explode(F.expr(f"concat(array(value), {more})")))
 
 
-def _crowd_links(fps: DataFrame) -> DataFrame:
-    """Links that join all crowded fingerprints which are at most two bits apart: those share a point of
-    their balls of radius one, and each of a point's fingerprints is linked to the smallest of them."""
-    segments = _segments(fps)
-    dense = segments.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD)
-    crowded = segments.join(dense, ["part", "value"], "left_semi").select("fp").distinct()
-    points = crowded.withColumn("point", F.explode(F.expr(
+def _crowd_links(crowded: DataFrame, distance: int) -> DataFrame:
+    """Links that join all of these fingerprints which are at most ``distance`` bits apart, two or three.
+
+    Of two that differ in two bits at most, both lie within one bit of some point: a point's fingerprints
+    are linked to the smallest of them, its hub. Of three differing bits one of the two lacks at least two:
+    with these two set it is at a point within one bit of the other, and is linked to that point's hub.
+    """
+    near = crowded.withColumn("point", F.explode(F.expr(
         "concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")))
-    hubs = points.groupBy("point").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return points.join(hubs, "point").filter("fp <> hub").select(
-        F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = near.groupBy("point").agg(F.min("fp").alias("hub"))
+    reached = near
+    if distance > 2:
+        lacking = crowded.withColumn("bits", F.expr(
+            "transform(filter(sequence(0, 63), i -> (fp & shiftleft(1L, i)) = 0), i -> shiftleft(1L, i))"))
+        reached = near.unionByName(lacking.select("fp", F.explode(F.expr(
+            "flatten(transform(bits, (x, i) -> transform(slice(bits, i + 2, 64), y -> fp | x | y)))")).alias("point")))
+    return reached.join(hubs, "point").filter("fp <> hub").select(
+        F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct()
+
+
+def _met(probing: DataFrame, table: DataFrame, distance: int) -> DataFrame:
+    """Pairs within ``distance`` bits that the balls of ``probing`` find in ``table``, both tables of segments."""
+    probes = _ball(probing).select("part", "value", F.col("fp").alias("a"))
+    differ = F.col("a").bitwiseXOR(F.col("fp"))
+    high = F.bit_count(F.shiftrightunsigned(differ, HALF))
+    low = F.bit_count(differ.bitwiseAND(F.lit((1 << HALF) - 1)))
+    # A pair that both segments find is taken from the first; one that finds itself from the smaller side.
+    own, other = F.when(F.col("part") == 0, high).otherwise(low), F.when(F.col("part") == 0, low).otherwise(high)
+    return probes.join(table, ["part", "value"]).filter(
+        (F.bit_count(differ) <= distance) & ((F.col("part") == 0) | (other > 1))
+        & ((own > 0) | (F.col("a") < F.col("fp")))).select("a", F.col("fp").alias("b"))
 
 
 def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links ``a, b`` whose components are those of all pairs within ``distance`` bits (at most 3).
 
-    ``fps`` has distinct ``fp``. No link is made twice, and none within a crowd that is joined already.
+    ``fps`` has distinct ``fp``. Two fingerprints in crowded values never meet in the segments' tables; one
+    of them and one outside a crowd do.
     """
     if not 0 <= distance <= 3:
         raise ValueError("two segments with balls of radius one cover distances up to 3")
-    crowd = None
-    placed = fps.withColumn("root", F.col("fp"))
-    if distance >= 2:
-        crowd = written(_crowd_links(fps), "crowd-links")
-        if crowd.isEmpty():
-            crowd = None
-        else:
-            placed = fps.join(components(crowd), F.col("fp") == F.col("node"), "left").select(
-                "fp", F.coalesce("root", "fp").alias("root"))
-    table = _segments(placed)
-    probes = _ball(table).select("part", "value", F.col("fp").alias("a"), F.col("root").alias("a_root"))
-    differ = F.col("a").bitwiseXOR(F.col("fp"))
-    high = F.bit_count(F.shiftrightunsigned(differ, HALF))
-    low = F.bit_count(differ.bitwiseAND(F.lit((1 << HALF) - 1)))
-    # A pair that both segments find is taken from the first; one that finds itself from the smaller side.
-    own, other = F.when(F.col("part") == 0, high).otherwise(low), F.when(F.col("part") == 0, low).otherwise(high)
-    met = probes.join(table, ["part", "value"]).filter(
-        (F.bit_count(differ) <= distance) & (F.col("a_root") != F.col("root")) & ((F.col("part") == 0) | (other > 1))
-        & ((own > 0) | (F.col("a") < F.col("fp"))))
-    links = met.select("a", F.col("fp").alias("b"))
-    return links if crowd is None else links.unionByName(crowd.select("a", "b"))
+    segments = _segments(fps)
+    if distance < 2:
+        return _met(segments, segments, distance)
+    dense = written(segments.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") > CROWD).select("part", "value"), "crowded-values")
+    if dense.isEmpty():
+        return _met(segments, segments, distance)
+    crowded = written(segments.join(dense, ["part", "value"], "left_semi"), "crowded")
+    sparse = segments.join(dense, ["part", "value"], "left_anti")
+    return _met(sparse, segments, distance).unionByName(_met(crowded, sparse, distance)).unionByName(
+        _crowd_links(crowded.select("fp").distinct(), distance))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
