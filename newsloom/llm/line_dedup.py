@@ -59,9 +59,12 @@ def windows(lines: DataFrame, words: int) -> DataFrame:
 def matches(found: DataFrame) -> DataFrame:
     """``seq, p, n, first_seq, first_p`` of every window whose content occurs earlier, by identifier and place."""
     places = found.select("fp", "seq", "fp_at").distinct().groupBy("fp").agg(F.count(F.lit(1)).alias("places"))
-    repeated = found.join(places.filter("places > 1").select("fp"), "fp").select("seq", "ident", "p", "n", "content")
-    firsts = repeated.groupBy("content").agg(
-        F.min(F.struct("ident", "seq", "p")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    # Aggregates are written before they are joined: Spark splits a hot key only where both sides of a join come
+    # straight from a shuffle.
+    shared = written(places.filter("places > 1").select("fp"), "line-fingerprints")
+    repeated = written(found.join(shared, "fp").select("seq", "ident", "p", "n", "content"), "line-repeated")
+    firsts = written(repeated.groupBy("content").agg(
+        F.min(F.struct("ident", "seq", "p")).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1"), "line-firsts")
     return repeated.join(firsts, "content").filter(
         (F.col("seq") != F.col("first.seq")) | (F.col("p") != F.col("first.p"))).select(
         "seq", "p", "n", F.col("first.seq").alias("first_seq"), F.col("first.p").alias("first_p"))
