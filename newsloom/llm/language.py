@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,19 +33,23 @@ GATHERED = 1 << 18
 REMEMBERED = 1 << 18
 BITS = 21
 _LETTERS = re.compile(r"[^\W\d_]+")
+# What the pattern above takes for the end of a word, though the letter before it goes on: marks, vowel signs.
+_MARKED = regex.compile(r"\p{M}")
+_LETTERS_AND_MARKS = regex.compile(r"[\p{L}\p{M}\p{Nl}\p{No}]+")
 
 
 def words(text: str) -> list[str]:
     """Runs of letters and marks in lower case; other characters separate."""
-    return _LETTERS.findall(text.lower())
+    text = text.lower()
+    return (_LETTERS if text.isascii() or not _MARKED.search(text) else _LETTERS_AND_MARKS).findall(text)
 
 
 def grams(word: str) -> np.ndarray:
     """The n-grams of a word between blanks, each packed into one number: a code point in 21 bits, after the
-    one before it. Numerals that count as word characters are left out."""
+    one before it. Numerals that count as word characters are left out, and marks without any letter."""
     if not word.isalpha():
-        word = "".join(filter(str.isalpha, word))
-        if not word:
+        word = "".join(c for c in word if c.isalpha() or _MARKED.match(c))
+        if not any(map(str.isalpha, word)):
             return np.empty(0, np.int64)
     codes = np.array([32, *map(ord, word), 32], np.int64)
     packed, found = codes, [codes[1:-1]]
