@@ -20,6 +20,7 @@ from newsloom.operators.quality import usable
 from newsloom.operators.ranking import first_n_per_group
 from newsloom.session import shared_folder
 from newsloom.sources.landing import landed
+from newsloom.sources.pages import last_pages
 
 # Links that the first wave follows for each wanted article, and how much further each later wave reaches.
 FIRST_WAVE, GROWTH = 3, 4
@@ -28,6 +29,8 @@ FIRST_WAVE, GROWTH = 3, 4
 def site_pages(sites: DataFrame, pages: DataFrame) -> DataFrame:
     """The requested sites' own pages, from which links are read."""
     wanted = sites.select(F.col("source_url").alias("url"))
+    if "source_url" in pages.columns:
+        pages = pages.filter(F.col("source_url") == F.col("url"))
     return pages.select("url", "html").join(wanted, "url", "left_semi")
 
 
@@ -35,10 +38,11 @@ def linked_pages(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Stored pages behind links, with the site and the position of the link.
 
     The link side is narrow; Spark prunes pages by a Bloom filter of the links before they move, or
-    broadcasts the links when their measured size allows it.
+    broadcasts the links when their measured size allows it. Pages with a ``source_url`` answer links of that site.
     """
-    target = pages.select(F.col("url").alias("article_url"), "html")
-    return links.join(target, "article_url").withColumnRenamed("article_url", "url")
+    own = [c for c in ("source_url",) if c in pages.columns]
+    target = pages.select(F.col("url").alias("article_url"), *own, "html")
+    return links.join(target, ["article_url", *own]).withColumnRenamed("article_url", "url")
 
 
 def in_waves(
@@ -128,10 +132,13 @@ def fill_in_stages(
 def crawl(sites: DataFrame, pages: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
     """Usable articles of every site up to its quota from stored pages.
 
-    ``rendered`` are pages saved from a browser; without them the third extractor reads the same pages.
+    ``rendered`` are pages saved from a browser; without them the third extractor reads the same pages. Pages may
+    say by ``source_url`` for which site they were stored, and by ``seq`` in which order: a link leads to one page,
+    the last one stored under its URL (for its site).
     """
     bound = C.largest_quota(sites)
-    shown = pages if rendered is None else rendered
+    pages = last_pages(pages)
+    shown = pages if rendered is None else last_pages(rendered)
     return fill_in_stages({
         "main": lambda short: main_articles(short, pages, bound),
         "fallback": lambda short: fallback_articles(short, pages),

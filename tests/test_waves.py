@@ -72,3 +72,22 @@ def test_no_sites(spark):
     none = spark.createDataFrame([], "source_url string, quota int")
     assert PC.crawl(none, pages).count() == 0
     assert PC.crawl(none.unionByName(spark.range(1).select(F.lit("x").alias("source_url"), F.lit(0).alias("quota"))), pages).count() == 0
+
+
+def test_a_link_leads_to_one_page(spark):
+    """Two pages were stored under one URL: the later one answers, once; told apart by site, each its own site's link."""
+    a, b, url = "https://a.example.com/", "https://a.example.com/b", "https://a.example.com/news/0"
+    link = f'<body><a href="{url}">x</a></body>'
+    # No extractor fills a quota of four, so each brings what it finds.
+    sites = spark.createDataFrame([(a, 4), (b, 4)], "source_url string, quota int")
+    rows = [(a, a, 0, link), (b, b, 0, link), (url, a, 1, GOOD.replace("T<", "old<")), (url, b, 2, GOOD.replace("T<", "new<"))]
+    pages = spark.createDataFrame(rows, "url string, source_url string, seq long, html string")
+
+    def found(pages):
+        return sorted((r.source_url, r.method, r.headline) for r in PC.crawl(sites, pages).collect())
+
+    def listed(first, second):
+        return sorted((s, m, h) for s, h in ((a, first), (b, second)) for m in C.METHODS)
+
+    assert found(pages.drop("source_url")) == listed("new", "new")
+    assert found(pages) == listed("old", "new")
