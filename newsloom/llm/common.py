@@ -44,7 +44,7 @@ def bounded_batches(frame: DataFrame) -> DataFrame:
     Python worker. A limit that the session already has is left alone."""
     conf = frame.sparkSession.conf
     if conf.get(BATCH_BYTES, None) is None:
-        conf.set(BATCH_BYTES, str(16 << 20))
+        conf.set(BATCH_BYTES, str(4 << 20))
     return frame
 
 

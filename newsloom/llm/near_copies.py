@@ -1,10 +1,12 @@
-"""Near copies by the Jaccard similarity of word shingles, found by MinHash segments and verified exactly.
+"""Near copies by the Jaccard similarity of word shingles, found by SimHash and MinHash and verified exactly.
 
-A signature has the smallest of a text's shingle hashes under each of SEGMENTS x ROWS permutations, and texts
+Each text has a SimHash fingerprint of its shingles; fingerprints within three bits are found by multi-index
+hashing, as in ``simhash``. Three bits reach the nearest copies alone, a similarity of 0.8 is some ten bits
+apart; the others are found by MinHash. A signature has the smallest of a text's shingle hashes under each of SEGMENTS x ROWS permutations, and texts
 that agree in a whole segment are candidates. Of pairs with Jaccard 0.8 one in 38,000 shares no segment.
 Candidates are verified on all of their shingles, so no pair below the similarity is linked.
 
-Scale: a text is read once and becomes SEGMENTS numbers; the shingles of candidates alone are read again. A
+Scale: a text is read once and becomes SEGMENTS numbers and a fingerprint; the shingles of candidates alone are read again. A
 segment value that very many texts share would meet in all pairs there; its texts are first compared with
 two hubs, and after that only the groups that this leaves apart meet.
 """
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import bounded_batches, or_blank, written
 from newsloom.llm.components import components
 from newsloom.llm.exact_dedup import only_hits
+from newsloom.llm.simhash import near_links
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -50,23 +53,42 @@ def shingle_hashes(text: str, width: int = SHINGLE_WORDS) -> Iterator[np.ndarray
             starts[low:high], starts[low + width:high + width], strict=True)], np.uint64)
 
 
-def segments(text: str) -> list[int]:
-    """One number for each segment of the signature; numbers of different segments differ."""
+def signature(text: str) -> tuple[list[int], int]:
+    """One number for each segment, where numbers of different segments differ, and the SimHash of all shingles."""
     least = np.full(SEGMENTS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    ones, total = np.zeros(64, np.int64), 0
     for hashes in shingle_hashes(text):
         np.minimum(least, ((hashes ^ _MIX) * _FACTOR).min(axis=1), out=least)
-    return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(SEGMENTS, ROWS))]
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += len(hashes)
+    found = [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(SEGMENTS, ROWS))]
+    return found, int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
 def _signed(docs: DataFrame) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([segments(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+            found = [signature(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("digest"), found], ["doc_id", "digest", "segments"])
+                [batch.column("doc_id"), batch.column("digest"), pa.array([f for f, _ in found], pa.list_(pa.int64())),
+                 pa.array([fp for _, fp in found], pa.int64())], ["doc_id", "digest", "segments", "fp"])
 
     rows = bounded_batches(docs).select("doc_id", or_blank(F.col("text")).alias("text"), "digest")
-    return rows.mapInArrow(run, "doc_id long, digest binary, segments array<long>")
+    return rows.mapInArrow(run, "doc_id long, digest binary, segments array<long>, fp long")
+
+
+def _fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """Candidates by SimHash: texts of one fingerprint with the first of them, and the first ones of fingerprints
+    that ``near_links`` links."""
+    classes = written(rows.groupBy("fp").agg(F.min("key").alias("first")), "near-fingerprints")
+    alike = rows.select("key", "fp").join(classes, "fp").filter("key <> first").select(
+        F.col("first").alias("a"), F.col("key").alias("b"))
+
+    def side(name: str) -> DataFrame:
+        return classes.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_key"))
+
+    linked = near_links(classes.select("fp")).join(side("a"), "a").join(side("b"), "b")
+    return alike.unionByName(linked.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")))
 
 
 def _shingles(texts: DataFrame) -> DataFrame:
@@ -118,7 +140,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     placed = rows.select("key", F.explode("segments").alias("value"))
     shared = placed.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = written(placed.join(shared, "value"), "near-candidates")
-    wanted = rows.join(met.select("key").distinct(), "key", "left_semi").select("key", "digest", "doc_id")
+    alike = written(_fingerprint_pairs(rows), "near-alike")
+    keys = met.select("key").unionByName(alike.select(F.explode(F.array("a", "b")).alias("key"))).distinct()
+    wanted = rows.join(keys, "key", "left_semi").select("key", "digest", "doc_id")
     texts = only_hits(docs.select("doc_id", or_blank(F.col("text")).alias("text"), "digest"), wanted).alias("t").join(
         wanted.groupBy("digest").agg(F.collect_list("key").alias("keys")).alias("w"), "digest")
     # Rows of one digest have one text.
@@ -126,7 +150,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     shingles = written(_shingles(bounded_batches(whole).select(F.explode("keys").alias("key"), "text")), "near-shingles")
 
     few, crowded = met.filter(F.col("n") <= CROWD).drop("n"), met.filter(F.col("n") > CROWD)
-    links = written(_links(_met(few, few, ["value"]).unionByName(_hub_pairs(crowded)).distinct(), shingles), "near-links")
+    links = written(_links(
+        _met(few, few, ["value"]).unionByName(_hub_pairs(crowded)).unionByName(alike).distinct(), shingles), "near-links")
     roots = components(links)
     in_crowd = written(crowded.select("value", "key").join(roots, F.col("key") == F.col("node"), "left").select(
         "value", "key", F.coalesce("root", "key").alias("root")), "near-crowds")

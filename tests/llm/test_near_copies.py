@@ -7,7 +7,7 @@ import corpus_pipeline
 import pytest
 from test_edge_cases import split
 
-from newsloom.llm import near_copies
+from newsloom.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -70,3 +70,23 @@ def test_stage_is_brute_force_jaccard(spark, small, monkeypatch, crowd):
                                  "doc_id long, text string, lang string, source string, n_chars long")
     found = corpus_pipeline.drop_near_copies(spark, docs, small)
     assert sorted(r.doc_id for r in found.collect()) == staying(rows)
+
+
+def test_fingerprints_alone_find_the_nearest_copies(spark, small, monkeypatch):
+    """Without the MinHash candidates, copies whose SimHash differs in three bits at most are found; pairs are verified."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(words[:200])), (4, "alone here")]
+    fps = [near_copies.signature(t)[1] for _, t in rows]
+    assert fps == [simhash.fingerprint(t, 5) for _, t in rows] and (fps[0] ^ fps[1]).bit_count() <= 3
+    monkeypatch.setattr(near_copies, "_met", lambda left, right, on: spark.createDataFrame([], "a long, b long"))
+    docs = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.drop_near_copies(spark, docs, small)
+    assert sorted(r.doc_id for r in found.collect()) == [1, 3, 4]
+
+
+def test_pairs_of_fingerprints(spark):
+    rows = spark.createDataFrame(enumerate([5, 5, 5 ^ 7, 5 ^ 15 << 10, -1]), "key long, fp long")
+    found = near_copies._fingerprint_pairs(rows).collect()
+    assert sorted(map(tuple, found)) == [(0, 1), (0, 2)]
