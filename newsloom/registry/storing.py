@@ -10,8 +10,9 @@ from newsloom.plans import process as P
 from newsloom.profiles import PROFILE_A, PROFILE_B
 from newsloom.registry import views as V
 from newsloom.registry.base import Registry
-from newsloom.session import scratch_path, shared_folder
+from newsloom.session import scratch_path
 from newsloom.sources import articles as A
+from newsloom.sources.landing import landed
 from newsloom.sources.tables import ArticleStore
 from newsloom.streaming.incremental import ingest, raw_stream
 
@@ -26,13 +27,15 @@ STORE = f"""{PROCESSED}, store AS (SELECT *, try_cast(nullif(date, '') AS DATE)
 
 def processed(spark, folder, profile=PROFILE_A):
     """Processed articles, written down once: the queries below read them several times."""
-    shared_folder(spark)
-    return P.process(
-        V.articles(spark, folder), V.responses(spark, folder), profile, V.KEYWORDS).checkpoint()
+    return landed(P.process(
+        V.articles(spark, folder), V.responses(spark, folder), profile, V.KEYWORDS), "processed")
 
 
 def tables(spark, folder):
-    rows = processed(spark, folder)
+    return tables_of(processed(spark, folder))
+
+
+def tables_of(rows):
     created = F.timestamp_seconds((F.col("seq") * 7919) % 100003)
     return S.to_store_rows(rows, "lenient", created), S.factor_rows(rows)
 
@@ -181,30 +184,32 @@ def preview(spark, folder):
 
 # --- changes --------------------------------------------------------------------------------
 
-def doomed(spark, folder):
+def doomed(spark, articles):
     """Hashes to delete: those of the negative articles, and one nobody has."""
-    articles, _ = tables(spark, folder)
     unknown = spark.range(1).select(F.lit("unknown").alias("content_hash"))
     return articles.filter(F.col("sentiment") == "利弊").select("content_hash").unionByName(unknown)
 
 
 @add("r9_delete_by_hash", f"{STORE} SELECT content_hash, quality_score FROM store WHERE sentiment <> '利弊'")
 def delete(spark, folder):
-    articles, _ = S.delete_by_hash(*tables(spark, folder), doomed(spark, folder))
+    before = tables(spark, folder)
+    articles, _ = S.delete_by_hash(*before, doomed(spark, before[0]))
     return articles.select("content_hash", F.col("quality_score").cast("long").alias("quality_score"))
 
 
 @add("r9_delete_cascade", f"""{STORE}, l AS (SELECT content_hash, string_split(factors, ',') AS f FROM store
   WHERE sentiment <> '利弊') SELECT content_hash, unnest(f) AS factor_name FROM l""")
 def delete_cascade(spark, folder):
-    _, factors = S.delete_by_hash(*tables(spark, folder), doomed(spark, folder))
+    before = tables(spark, folder)
+    _, factors = S.delete_by_hash(*before, doomed(spark, before[0]))
     return factors.select("content_hash", "factor_name")
 
 
 @add("r9_deletion_report", f"""{STORE} SELECT content_hash, true AS deleted FROM store WHERE sentiment = '利弊'
 UNION ALL SELECT 'unknown', false""")
 def deletion_report(spark, folder):
-    return S.deletion_report(tables(spark, folder)[0], doomed(spark, folder))
+    articles, _ = tables(spark, folder)
+    return S.deletion_report(articles, doomed(spark, articles))
 
 
 @add("r11_upsert", f"""{STORE} SELECT content_hash, CASE WHEN sentiment = '利弊' THEN '利好' ELSE sentiment END AS sentiment,
@@ -318,8 +323,9 @@ def store_append(spark, folder):
 FROM store WHERE date <> '' AND sentiment <> '利弊'""")
 def store_rewrite(spark, folder):
     store = ArticleStore(spark, scratch_path(spark, "store"))
-    store.insert(processed(spark, folder))
-    store.delete(doomed(spark, folder))
+    rows = processed(spark, folder)
+    store.insert(rows)
+    store.delete(doomed(spark, rows))
     return _view(S.with_factors(store.articles(), store.factors()), _factors())
 
 
