@@ -58,7 +58,12 @@ def process(
     keywords: Sequence[str] | None = None, null_is_error: bool = False,
 ) -> DataFrame:
     """Processed articles: unique, scored, annotated from the table of replies, with a status."""
-    narrow = measured(articles, profile, keywords, null_is_error)
+    return annotated(measured(articles, profile, keywords, null_is_error), responses, profile, null_is_error)
+
+
+def annotated(narrow: DataFrame, responses: DataFrame, profile: Profile, null_is_error: bool = False) -> DataFrame:
+    """The same from ``measured`` rows, whose ``seq`` may have been changed since: by it the first of equal articles is
+    found, and replies."""
     return _output(_routed(narrow, responses, profile, null_is_error), profile)
 
 

@@ -339,11 +339,13 @@ def incremental_runs(spark, folder):
 
     fields = ("date", "headline", "content", "article_url", "source_url")
     identity = F.md5(F.concat_ws("|", *fields))
-    order = V.articles(spark, folder).groupBy(identity.alias("_id")).agg(F.min("seq").alias("seq"))
+    order = landed(V.articles(spark, folder).groupBy(identity.alias("_id")).agg(F.min("seq").alias("seq")), "order")
 
     def judge(rows):
-        numbered = rows.drop("seq").withColumn("_id", identity).join(order, "_id").drop("_id")
-        return P.process(numbered, replies, PROFILE_A, V.KEYWORDS)
+        """Texts stay where they are read; their measures get the numbers. Rows of one identity are equal."""
+        narrow = P.measured(rows.withColumn("_id", identity), PROFILE_A, V.KEYWORDS, columns=(*P.NARROW, *P.METRICS, "_id"))
+        numbered = narrow.drop("seq").dropDuplicates(["_id"]).join(order, "_id").drop("_id")
+        return P.annotated(numbered, replies, PROFILE_A)
 
     for _ in range(2):
         V.articles(spark, folder).drop("seq").write.mode("append").json(arriving)

@@ -47,13 +47,14 @@ def with_seq(df: DataFrame) -> DataFrame:
         return df.withColumn("seq", F.monotonically_increasing_id())
     spark = df.sparkSession
     path = scratch_path(spark, "numbered")
-    df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    df.withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
     landed = spark.read.parquet(path)
     blocks = landed.groupBy("_file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     before = F.sum("_rows").over(
         Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))
     placed = blocks.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_rows")
-    return landed.join(placed, ["_file", "_block"]).select(
+    # One row for each block. Spark takes its table for as large as the texts, and would shuffle these for the join.
+    return landed.join(F.broadcast(placed), ["_file", "_block"]).select(
         *[c for c in df.columns if c not in PLACE], (F.col("_before") + F.col("_row") - F.col("_first")).alias("seq"))
 
 
