@@ -7,6 +7,8 @@ rarer ones first, then the class within its band, which is computed only where a
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 
 WINDOW = 48
@@ -30,7 +32,7 @@ def bands(classes: int) -> list[tuple[int, int]]:
 def _softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(axis=-1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
+    x *= 1 / x.sum(axis=-1, keepdims=True)
     return x
 
 
@@ -66,16 +68,31 @@ class Model:
             self.weights[f"out{i}"] = start(WIDTH, table.shape[1], scale=0.02)
         self.mask = np.where(np.tri(WINDOW, dtype=bool), np.float32(0), MASKED)
 
+    def copied(self) -> Model:
+        """A model of the same weights that can be trained by itself."""
+        other = copy.copy(self)
+        other.weights = {n: w.copy() for n, w in self.weights.items()}
+        return other
+
+    def flat(self) -> np.ndarray:
+        """All weights in one row."""
+        return np.concatenate([w.reshape(-1) for w in self.weights.values()])
+
+    def load(self, flat: np.ndarray) -> None:
+        """Takes the weights from a row as made by ``flat``."""
+        ends = np.cumsum([w.size for w in self.weights.values()])
+        for (name, w), part in zip(self.weights.items(), np.split(flat, ends[:-1]), strict=True):
+            self.weights[name] = part.reshape(w.shape).astype(np.float32)
+
     def hidden(self, windows: np.ndarray, first: int = 0):
         """What attention reads at the places from ``first`` on, and the parts that training needs."""
         w, (count, length) = self.weights, windows.shape
-        x = w["token"][windows]
+        x = np.take(w["token"], windows, axis=0, mode="clip")
         x += w["place"][:length]
         flat = x.reshape(-1, WIDTH)
         k, v = (flat @ w["key"]).reshape(x.shape), (flat @ w["value"]).reshape(x.shape)
         q = (np.ascontiguousarray(x[:, first:]).reshape(-1, WIDTH) @ w["query"]).reshape(count, length - first, WIDTH)
-        scores = q @ k.transpose(0, 2, 1)
-        scores *= np.float32(WIDTH ** -0.5)
+        scores = (q * np.float32(WIDTH ** -0.5)) @ k.transpose(0, 2, 1)
         scores += self.mask[first:length, :length]
         a = _softmax(scores)
         return np.tanh(a @ v), (x, q, k, v, a)
@@ -102,7 +119,8 @@ class Model:
             raised = here @ out
             np.exp(raised, out=raised)
             whole = np.einsum("ij,ij->i", raised, np.take(self.chance[i], now, axis=0, mode="clip"))
-            total[at] += self.bigram[i][now, wanted] + np.einsum("ij,ij->i", here, out.T[wanted]) - np.log(whole)
+            total[at] += self.bigram[i][now, wanted] + np.einsum(
+                "ij,ij->i", here, np.take(np.ascontiguousarray(out.T), wanted, axis=0)) - np.log(whole)
         return total.reshape(targets.shape)
 
     def train(self, windows: np.ndarray, epochs: int = 2, batch: int = 64, rate: float = 0.01, seed: int = 7) -> None:

@@ -6,8 +6,9 @@ model (``attention``) predicts classes; an id's part of its class comes from cou
 overlapping windows, and each id is scored in the one window where it lies behind the overlap.
 
 Scale: counts of words, ids, their neighbours and neighbouring classes are over all documents that may be
-learned from, summed within tasks before they move. Only the attention weights are fitted on a bounded
-sample of windows.
+learned from, summed within tasks before they move. The attention weights are trained on every window of these
+documents: each bucket of windows trains its own copy in a task, and the copies are averaged. Only the weights that
+all copies start from are fitted on a bounded sample.
 Documents are scored where they are read; words outside the broadcast table of frequent ones get their
 counts by a join of narrow rows.
 """
@@ -35,15 +36,20 @@ CLASSES = 512
 GROUPS = 32
 # Frequent ids that count as a kind of neighbour of their own.
 NEIGHBOURS = 64
-# The sample that the weights are fitted on: so many distinct texts, so many windows of each at most.
+# The sample that the starting weights are fitted on: so many distinct texts, so many windows of each at most.
 SAMPLE_DOCS = 4096
 SAMPLE_WINDOWS = 8
-# Windows that the weights see in all, each at least twice and at most twenty times.
+# Windows that the starting weights see in all, each at least twice and at most twenty times.
 VISITS = 60_000
+# Ids that one copy of the weights is trained on, about, and the windows of a piece of a text that is dealt out whole.
+BUCKET_IDS = 1 << 20
+PIECE_WINDOWS = 256
+# Copies start from trained weights, so they learn at a lower rate.
+COPY_RATE = 0.003
 # Words whose counts are broadcast; distinct words that a task gathers or a worker remembers.
 FREQUENT = 1 << 19
 GATHERED = 1 << 18
-SCORED = 128
+SCORED = 64
 
 
 class Subwords:
@@ -163,11 +169,13 @@ def classes_of(known: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return classes, often
 
 
-def class_pairs(texts: DataFrame, path: str, pattern: str, classes: np.ndarray) -> DataFrame:
-    """``code, n`` over all of ``texts``: how often each class follows each, a pair of classes as one number."""
+def class_lines(texts: DataFrame, path: str, pattern: str, classes: np.ndarray) -> DataFrame:
+    """``line``: the classes of every text, an end before and after, as 16-bit numbers. Long texts are cut into
+    pieces that share one class, so that each class but a text's first follows another in just one line."""
+    step = PIECE_WINDOWS * attention.WINDOW
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         cut = _subwords(path, pattern)
-        pairs = np.zeros(CLASSES * CLASSES, np.int64)
         known = Ragged(np.int16)
         for batch in batches:
             for block in blocks(batch.column("text").to_pylist()):
@@ -182,12 +190,73 @@ def class_pairs(texts: DataFrame, path: str, pattern: str, classes: np.ndarray)
                 # Every text is followed by an end, and an end stands before the first.
                 upto = np.concatenate(([0], np.cumsum(known.length[numbers])))
                 stops = upto[np.cumsum([len(p) for p in parts])]
-                flat = np.insert(known.gather(numbers).astype(np.int64), np.concatenate(([0], stops)), 0)
-                pairs += np.bincount(flat[:-1] * CLASSES + flat[1:], minlength=len(pairs))
+                flat = np.insert(known.gather(numbers), np.concatenate(([0], stops)), 0)
+                ends = stops + 1 + np.arange(len(stops))
+                lines = [flat[low:min(low + step, end) + 1].tobytes()
+                         for first, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)
+                         for low in range(first, end, step)]
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], ["line"])
+
+    return texts.select("text").mapInArrow(run, "line binary")
+
+
+def pairs_in(lines: DataFrame) -> DataFrame:
+    """``code, n`` over all of ``lines``: how often each class follows each, a pair of classes as one number."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            found = batch.column("line").to_pylist()
+            flat = np.frombuffer(b"".join(found), np.int16).astype(np.int64)
+            last = np.cumsum(np.array([len(line) // 2 for line in found], np.int64)) - 1
+            codes = np.delete(flat[:-1] * CLASSES + flat[1:], last[:-1])
+            pairs += np.bincount(codes, minlength=len(pairs))
         codes = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(pairs[codes], pa.int64())], ["code", "n"])
 
-    return texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return lines.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def class_pairs(texts: DataFrame, path: str, pattern: str, classes: np.ndarray) -> DataFrame:
+    """``code, n`` over all of ``texts``."""
+    return pairs_in(class_lines(texts, path, pattern, classes))
+
+
+def windows_of(line: np.ndarray) -> np.ndarray:
+    """Windows one after the other, in which every class of ``line`` but the first is a target once."""
+    count = -(-(len(line) - 1) // attention.WINDOW)
+    padded = np.full(count * attention.WINDOW + 1, -1, np.int64)
+    padded[:len(line)] = line
+    return padded[np.arange(count)[:, None] * attention.WINDOW + np.arange(attention.WINDOW + 1)]
+
+
+def train_copies(lines: DataFrame, model: attention.Model, buckets: int) -> int:
+    """Trains ``model`` on all windows of ``lines`` and returns their number.
+
+    Lines are dealt into buckets by their content, equal ones by their number among equals, so that the buckets do
+    not depend on partitions or identifiers. Each bucket trains a copy from the weights that ``model`` has; these
+    become the mean of all copies, each counted by its windows. What reaches the driver is one set of weights.
+    """
+    known = lines.sparkSession.sparkContext.broadcast(model)
+
+    def run(table: pa.Table) -> pa.Table:
+        found = sorted(table.column("line").to_pylist())
+        windows = np.concatenate([windows_of(np.frombuffer(line, np.int16)) for line in found])
+        own = known.value.copied()
+        own.train(windows, 1, rate=COPY_RATE)
+        flat = own.flat()
+        return pa.table({"place": pa.array(np.arange(len(flat)), pa.int32()),
+                         "total": pa.array(flat * np.float64(len(windows)), pa.float64()),
+                         "n": pa.array(np.full(len(flat), len(windows)), pa.int64())})
+
+    copies = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).select(
+        "line", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    dealt = copies.select("line", F.pmod(F.xxhash64("line", "copy"), F.lit(buckets)).alias("bucket"))
+    mean = dealt.groupBy("bucket").applyInArrow(run, "place int, total double, n long").groupBy("place").agg(
+        F.sum("total").alias("total"), F.sum("n").alias("n")).orderBy("place").toArrow()
+    if not len(mean):
+        return 0
+    model.load(mean.column("total").to_numpy() / mean.column("n").to_numpy())
+    return mean.column("n")[0].as_py()
 
 
 class Fitted(NamedTuple):
@@ -201,14 +270,15 @@ class Fitted(NamedTuple):
 
 
 def fit(texts: DataFrame, texts_count: int, path: str, pattern: str) -> Fitted:
-    """Counts over all of ``texts``, and weights from ``sample_windows``; the same in every run."""
+    """Counts over all of ``texts``, and weights trained on all of their windows; the same in every run."""
     cut = _subwords(path, pattern)
     counts = written(spelled(word_counts(texts), path, pattern), "lm-words")
     classes, often = classes_of(counts, cut.end + 1)
     often[cut.end] = texts_count
     ids = often + 0.5
     within = np.log(ids / np.bincount(classes, ids, CLASSES)[classes])
-    found = class_pairs(texts, path, pattern, classes).toArrow()
+    lines = written(class_lines(texts, path, pattern, classes), "lm-lines")
+    found = pairs_in(lines).toArrow()
     pairs = np.zeros(CLASSES * CLASSES)
     pairs[found.column("code").to_numpy()] = found.column("n").to_numpy()
     model = attention.Model(pairs.reshape(CLASSES, CLASSES))
@@ -216,6 +286,7 @@ def fit(texts: DataFrame, texts_count: int, path: str, pattern: str) -> Fitted:
         length = attention.WINDOW + 1
         model.train(np.array([classes[w].tolist() + [-1] * (length - len(w)) for w in windows]),
                     max(2, min(20, VISITS // len(windows))))
+    train_copies(lines, model, -(-int(pairs.sum()) // BUCKET_IDS) or 1)
     return Fitted(model, classes, within, counts.select("word", "n"))
 
 

@@ -91,3 +91,47 @@ def test_reruns_agree_where_identifiers_are_null(docs):
         blank.repartition(parts), learn, RANKS, P.PATTERN).collect()) for parts in (2, 5)]
     assert [r[:2] for r in runs[0]] == [r[:2] for r in runs[1]]
     assert [r[2] for r in runs[0]] == pytest.approx([r[2] for r in runs[1]], rel=1e-5)
+
+
+def learned_lines(docs):
+    """The texts, their classes and the classes of each text between two ends, one id at a time."""
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    cut = lm_scoring.Subwords(RANKS, P.PATTERN)
+    words = lm_scoring.spelled(lm_scoring.word_counts(texts), RANKS, P.PATTERN)
+    classes, _ = lm_scoring.classes_of(words, cut.end + 1)
+    found = [[i for word in lm_scoring.words(r.text) for i in cut.ids(word)] for r in texts.collect()]
+    return texts, classes, [[0, *classes[ids].tolist(), 0] for ids in found]
+
+
+def test_weights_come_from_all_windows(docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "sample_windows", lambda *_: [])
+    texts, classes, lines = learned_lines(docs)
+    size = attention.WINDOW
+    windows = []
+    for line in sorted(lines, key=lambda line: np.array(line, np.int16).tobytes()):
+        for low in range(0, len(line) - 1, size):
+            part = line[low:low + size + 1]
+            windows.append(part + [-1] * (size + 1 - len(part)))
+    fitted = lm_scoring.fit(texts, texts.count(), RANKS, P.PATTERN)
+    pairs = collections.Counter((a, b) for line in lines for a, b in zip(line, line[1:], strict=False))
+    counts = np.zeros((lm_scoring.CLASSES, lm_scoring.CLASSES))
+    for at, n in pairs.items():
+        counts[at] = n
+    plain = attention.Model(counts)
+    plain.train(np.array(windows), 1, rate=lm_scoring.COPY_RATE)
+    for name, weight in plain.weights.items():
+        assert fitted.model.weights[name] == pytest.approx(weight, abs=2e-4)
+
+
+def test_every_window_is_in_one_bucket(docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PIECE_WINDOWS", 2)
+    texts, classes, lines = learned_lines(docs)
+    twice = texts.union(texts)
+    dealt = lm_scoring.class_lines(twice, RANKS, P.PATTERN, classes)
+    model = attention.Model(np.ones((lm_scoring.CLASSES, lm_scoring.CLASSES)))
+    before = model.flat()
+    assert lm_scoring.train_copies(dealt, model, 5) == 2 * sum(-(-(len(line) - 1) // attention.WINDOW) for line in lines)
+    other = attention.Model(np.ones((lm_scoring.CLASSES, lm_scoring.CLASSES)))
+    lm_scoring.train_copies(lm_scoring.class_lines(twice.repartition(3), RANKS, P.PATTERN, classes), other, 5)
+    assert model.flat() == pytest.approx(other.flat(), abs=1e-6)
+    assert np.abs(model.flat() - before).max() > 1e-3
