@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.binding import bind, quoted
-from newsloom.llm.common import bounded_batches, most_frequent, or_blank, written
+from newsloom.llm.common import bounded_batches, most_frequent, or_blank, short_plans, written
 from newsloom.llm.merging import MergeTable, merge_all
 from newsloom.llm.pretokens import blocks, chunks, finder
 from newsloom.llm.ragged import Digests, Ragged, spread
@@ -258,7 +258,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     text. An empty table gives an empty result.
     """
     ranks = rank_literal(read_ranks(path))
-    texts = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), or_blank(F.col(text_col)).alias("text"))
+    texts = short_plans(bounded_batches(docs)).select(F.col(id_col).alias("doc_id"), or_blank(F.col(text_col)).alias("text"))
     known = docs.sparkSession.sparkContext.broadcast(frequent_words(texts, pattern, ranks, frequent))
     rest = folded("decode(encode(p.word, 'utf-8'), 'iso-8859-1')", "rank_table")
     joined = bind(ranks, "rank_table", f"flatten(transform(parts, p -> if(p.word is null, p.ids, concat(p.ids, {rest}))))")

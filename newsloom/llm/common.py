@@ -13,6 +13,7 @@ from newsloom.session import scratch_path
 # Fixed value: a word is a run of anything but ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+PLAN_CHARS = "spark.sql.maxPlanStringLength"
 # Stands for a missing identifier where identifiers are compared; sorts below all others.
 NO_ID = -(2 ** 63)
 
@@ -48,6 +49,15 @@ def bounded_batches(frame: DataFrame) -> DataFrame:
     return frame
 
 
+def short_plans(frame: DataFrame) -> DataFrame:
+    """``frame`` after limiting the printed plans of its session. The driver keeps the text of every plan it ran, and
+    a literal table in a plan is printed whole, each time. A limit that the session already has is left alone."""
+    conf = frame.sparkSession.conf
+    if conf.get(PLAN_CHARS, None) is None:
+        conf.set(PLAN_CHARS, str(1 << 16))
+    return frame
+
+
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     """Rows of the highest counts ``n``, at most ``most`` of them: counts fall into eight levels to each doubling,
     and the levels are taken from the top while all of their words fit."""
