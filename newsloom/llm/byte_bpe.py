@@ -266,14 +266,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def piece_literal(ranks: dict[bytes, int]) -> str:
-    """The bytes of each id, as hexadecimal digits, in the order of the ids."""
-    pieces = [""] * (max(ranks.values(), default=-1) + 1)
+    """The bytes of each id in the order of the ids, as strings of these bytes, whether they are text or not."""
+    pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.hex()
-    return f"split({quoted(','.join(pieces))}, ',')"
+        pieces[rank] = piece
+    listed = json.dumps([base64.b64encode(p).decode() for p in pieces])
+    return f"cast(from_json({quoted(listed)}, 'array<binary>') as array<string>)"
 
 
 def decoded(ids: str, path: str) -> Column:
     """The bytes that ``ids`` stand for, concatenated piece by piece. Unknown ids give null."""
     pieces = piece_literal(read_ranks(path))
-    return F.expr(bind(pieces, "pieces", f"unhex(array_join(transform({ids}, x -> pieces[x]), ''))"))
+    return F.expr(bind(pieces, "pieces", f"cast(array_join(transform({ids}, x -> pieces[x]), '') as binary)"))

@@ -16,11 +16,15 @@ import regex
 # The characters with the Unicode property White_Space.
 BLANKS = "\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _CHUNK = re.compile(f" ?[^{BLANKS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
+_SPACE_BLANK = re.compile(f" [{BLANKS}]")
 BLOCK_CHARS = 1 << 20
 
 
 def chunks(text: str) -> list[str]:
-    return _CHUNK.findall(text)
+    if "\0" in text or text[-1:] == " " or _SPACE_BLANK.search(text):
+        return _CHUNK.findall(text)
+    found = text.replace(" ", "\0 ").split("\0")
+    return found if found[0] else found[1:]
 
 
 def finder(pattern: str):
