@@ -7,18 +7,20 @@ that agree in a whole segment are candidates. Of pairs with Jaccard 0.8 one in 3
 Candidates are verified on all of their shingles, so no pair below the similarity is linked.
 
 Scale: a text is read once and becomes SEGMENTS numbers and a fingerprint; the shingles of candidates alone are read again. A
-segment value that very many texts share would meet in all pairs there; its texts are first compared with
-two hubs, and after that only the groups that this leaves apart meet.
+segment value that many texts share would meet in all pairs there; its texts are first compared with
+two hubs. Texts of groups that this leaves apart meet only if their numbers of shingles, and of shingles that no
+other such text has, leave room for the similarity.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import bounded_batches, or_blank, written
@@ -33,7 +35,10 @@ ROWS = 4
 SEED = 42
 BLOCK = 1 << 13
 # Texts that share a segment value are compared one by one up to this many. It changes the time only.
-CROWD = 64
+CROWD = 16
+# Sizes of one class differ by less than this factor, and shingles are counted in so many parts. They change the time only.
+STEP = 1.02
+PARTS = 32
 
 _DRAW = np.random.default_rng(SEED).integers(0, 1 << 63, (2, SEGMENTS * ROWS, 1), np.uint64)
 _MIX, _FACTOR = _DRAW[0], _DRAW[1] * np.uint64(2) + np.uint64(1)
@@ -129,6 +134,46 @@ def _hub_pairs(crowded: DataFrame) -> DataFrame:
     return _met(crowded.select("value", "key"), hubs.select("value", F.explode(F.array("h0", "h1")).alias("key")), ["value"])
 
 
+def _size_class(size: Column) -> Column:
+    return F.floor(F.log(size) / math.log(STEP)).cast("int")
+
+
+def _pairs_apart(apart: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Pairs of ``apart`` (``value, key, root``) of one value and two roots, without those that cannot be similar.
+
+    Of x's ``n`` shingles ``v`` occur in another text of ``apart`` too, ``u = n - v`` do not. Two texts differ in
+    their u and at least in the difference of their v. So where x has the smaller v or an equal one, a similarity of s
+    asks for v(x) <= v(y) <= n(y) <= v(x) / s - u(x). Classes of v(y) and n(y) make an equality of this range, and
+    roots meet before their texts do, as most texts of a crowd have one root. What meets is compared by the counts of
+    v in PARTS parts of all shingles: the sum of their differences is at most that of the texts.
+    """
+    listed = shingles.join(apart.select("key").distinct(), "key", "left_semi")
+    each = listed.select("key", F.explode("hashes").alias("hash"))
+    own = each.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.min("key").alias("key")).filter(
+        "texts = 1").groupBy("key").agg(F.collect_list("hash").alias("own"))
+    shared = F.array_except("hashes", F.coalesce("own", F.array().cast("array<bigint>")))
+    part = F.pmod(F.xxhash64("hash"), F.lit(PARTS))
+    sizes = listed.join(own, "key", "left").select(
+        "key", F.size("hashes").alias("n"), F.size(shared).alias("v"), F.explode_outer(shared).alias("hash")).groupBy(
+        "key", "n", "v").agg(F.array(*[F.count(F.when(part == i, 1)).cast("int") for i in range(PARTS)]).alias("parts"))
+    # The small numbers make up for rounding.
+    most = F.floor(F.col("v") / F.lit(SIMILARITY) + 1e-6) - (F.col("n") - F.col("v"))
+    sized = written(apart.join(sizes.withColumn("most", most), "key").filter("v > 0"), "near-sizes")
+    cell = ["value", "of_v", "of_n"]
+    table = sized.select("value", _size_class(F.col("v")).alias("of_v"), _size_class(F.col("n")).alias("of_n"),
+                         F.col("root").alias("rb"), F.col("key").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"),
+                         F.col("parts").alias("parts_b"))
+    probes = sized.filter("most >= v").select(
+        "value", F.explode(F.sequence(_size_class(F.col("v")), _size_class(F.col("most")))).alias("of_v"),
+        F.col("root").alias("ra"), F.col("key").alias("a"), "v", "n", "most", "parts").select(
+        "*", F.explode(F.sequence("of_v", _size_class(F.col("most")))).alias("of_n"))
+    meet = probes.select(*cell, "ra").distinct().join(table.select(*cell, "rb").distinct(), cell).filter("ra <> rb")
+    differ = F.expr("aggregate(zip_with(parts, parts_b, (p, q) -> abs(p - q)), n - v + nb - vb, (sum, d) -> sum + d)")
+    fits = differ <= F.lit((1 - SIMILARITY) / (1 + SIMILARITY)) * (F.col("n") + F.col("nb")) + 1e-6
+    pairs = meet.join(probes, [*cell, "ra"]).join(table, [*cell, "rb"]).filter("v <= vb AND nb <= most").filter(fits)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, digest, root`` of every row of ``docs`` (``doc_id, text, digest``); rows with one ``root`` are
     reachable from each other over pairs of SIMILARITY or more.
@@ -153,14 +198,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     links = written(_links(
         _met(few, few, ["value"]).unionByName(_hub_pairs(crowded)).unionByName(alike).distinct(), shingles), "near-links")
     roots = components(links)
-    in_crowd = written(crowded.select("value", "key").join(roots, F.col("key") == F.col("node"), "left").select(
-        "value", "key", F.coalesce("root", "key").alias("root")), "near-crowds")
-    groups = in_crowd.select("value", "root").distinct()
-    apart = groups.withColumnRenamed("root", "ra").join(groups.withColumnRenamed("root", "rb"), "value").filter("ra < rb")
+    in_crowd = crowded.select("value", "key").join(roots, F.col("key") == F.col("node"), "left").select(
+        "value", "key", F.coalesce("root", "key").alias("root"))
+    mixed = Window.partitionBy("value")
+    apart = written(in_crowd.withColumn("low", F.min("root").over(mixed)).withColumn("high", F.max("root").over(mixed)).filter(
+        "low < high").select("value", "key", "root"), "near-apart")
     if not apart.isEmpty():
-        first = apart.join(in_crowd.select("value", F.col("root").alias("ra"), F.col("key").alias("a")), ["value", "ra"])
-        pairs = first.join(in_crowd.select("value", F.col("root").alias("rb"), F.col("key").alias("b")), ["value", "rb"])
-        more = _links(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), shingles)
-        roots = components(links.unionByName(more))
+        roots = components(links.unionByName(_links(_pairs_apart(apart, shingles), shingles)))
     return rows.join(roots, F.col("key") == F.col("node"), "left").select(
         "doc_id", "digest", F.coalesce("root", "key").alias("root"))

@@ -90,3 +90,22 @@ def test_pairs_of_fingerprints(spark):
     rows = spark.createDataFrame(enumerate([5, 5, 5 ^ 7, 5 ^ 15 << 10, -1]), "key long, fp long")
     found = near_copies._fingerprint_pairs(rows).collect()
     assert sorted(map(tuple, found)) == [(0, 1), (0, 2)]
+
+
+def test_pairs_of_a_crowd_do_not_grow_with_its_square(spark, small, monkeypatch):
+    """Copies of one text with one to nine words less or changed: most pairs share a segment, many below the similarity."""
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.randrange(1, 10)):
+            at = rng.randrange(len(words))
+            words[at:at + 1] = [] if rng.random() < 0.5 else [f"{words[at]}x{rng.randrange(1000)}"]
+        rows.append((i, " ".join(words)))
+    verified, links = [], near_copies._links
+    monkeypatch.setattr(near_copies, "_links", lambda pairs, shingles: verified.append(pairs.count()) or links(pairs, shingles))
+    docs = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.drop_near_copies(spark, docs, small)
+    assert sorted(r.doc_id for r in found.collect()) == staying(rows)
+    assert len(verified) == 2 and verified[1] < 4 * len(rows)
