@@ -77,3 +77,22 @@ def test_marks_belong_to_their_words(spark):
     assert not len(language.grams("́"))
     found = spark.createDataFrame([(1, "́̀ 12")], "doc_id long, text string").withColumn("lang", F.lit("xx"))
     assert language.identify(found, F.lit(True)).first().lang_pred == "und"
+
+
+def test_a_worker_cuts_each_word_into_grams_once_and_forgets_without_a_difference(monkeypatch):
+    texts = ["ab cd ab", "x² ³ y½z é²a नमस्ते", "", "12 ́", "cd ab Straße İx ªº \ud800a", "don’t naïve 中文"] * 3
+    rows = [(lang, int(g), i + 1) for lang, text in (("a", texts[0]), ("b", texts[1]))
+            for i, g in enumerate(language.counted(collections.Counter(language.words(text)))[0])]
+    for text in texts:
+        assert language.words(text) == (language._LETTERS_AND_MARKS if language._MARKED.search(
+            text.lower()) else language._LETTERS).findall(text.lower())
+        got = {packed(g): n for g, n in plain_grams(text).items()}
+        distinct, times = language.counted(collections.Counter(language.words(text)))
+        assert dict(zip(distinct.tolist(), times.tolist(), strict=True)) == got
+    cut, grams_of = [], language.grams_of
+    monkeypatch.setattr(language, "grams_of", lambda new: cut.extend(new) or grams_of(new))
+    whole = language.Judge(rows).judge(texts)
+    assert len(cut) == len(set(cut))
+    forgetful = language.Judge(rows, 1)
+    monkeypatch.setattr(language, "DENSE", 0)
+    assert [forgetful.judge([t])[0] for t in texts] == whole
