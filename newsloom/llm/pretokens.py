@@ -18,6 +18,11 @@ BLANKS = "\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000
 _CHUNK = re.compile(f" ?[^{BLANKS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
 _SPACE_BLANK = re.compile(f" [{BLANKS}]")
 BLOCK_CHARS = 1 << 20
+# Alternatives of patterns whose plain words need no search.
+LETTERS, NUMERALS, OTHERS = r" ?\p{L}+", r" ?\p{N}+", r" ?[^\s\p{L}\p{N}]+"
+_CONTRACTION = re.compile("'[a-z]+")
+# Characters below this are letters in all versions of Unicode or in none.
+SETTLED = "\u0250"
 
 
 def chunks(text: str) -> list[str]:
@@ -27,9 +32,31 @@ def chunks(text: str) -> list[str]:
     return found if found[0] else found[1:]
 
 
+def _takes_words(pattern: str) -> bool:
+    """Whether letters after at most one space are one pre-token, and a full stop or comma after them another:
+    the pattern's alternatives are contractions, then runs of letters, of numerals and of other characters."""
+    parts = pattern.split("|")
+    if LETTERS not in parts:
+        return False
+    at = parts.index(LETTERS)
+    return parts[at + 1:at + 3] == [NUMERALS, OTHERS] and all(_CONTRACTION.fullmatch(p) for p in parts[:at])
+
+
 def finder(pattern: str):
     """The function that lists the pre-tokens of a chunk."""
-    return regex.compile(pattern).findall
+    find = regex.compile(pattern).findall
+    if not _takes_words(pattern):
+        return find
+
+    def found(chunk: str) -> list[str]:
+        last = chunk[-1:]
+        word = chunk[:-1] if last == "," or last == "." else chunk
+        letters = word[1:] if word[:1] == " " else word
+        if letters.isalpha() and (letters.isascii() or max(letters) < SETTLED):
+            return [chunk] if word is chunk else [word, last]
+        return find(chunk)
+
+    return found
 
 
 def blocks(texts: list[str]) -> Iterator[list[str]]:

@@ -7,7 +7,7 @@ import regex
 from pyspark.sql import functions as F
 
 from newsloom.llm import byte_bpe
-from newsloom.llm.pretokens import chunks
+from newsloom.llm.pretokens import SETTLED, chunks, finder
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -31,3 +31,22 @@ def test_every_byte_is_decoded(spark):
     row = spark.createDataFrame([(ids,), ([],)], "ids array<int>").select("ids", byte_bpe.decoded("ids", RANKS).alias("back"))
     got = {len(r.ids): bytes(r.back) for r in row.filter(F.col("back").isNotNull()).collect()}
     assert got == {256: bytes(range(256)), 0: b""}
+
+
+def test_plain_words_are_found_without_a_search(monkeypatch):
+    find, draw = regex.compile(P.PATTERN).findall, random.Random(2)
+    fast, searched = finder(P.PATTERN), []
+    for _ in range(50_000):
+        chunk = "".join(draw.choice("abé,.'²1 ") for _ in range(draw.randrange(1, 6)))
+        assert fast(chunk) == find(chunk)
+    assert all(chr(i).isalpha() == bool(regex.match(r"\p{L}", chr(i))) for i in range(ord(SETTLED)))
+    other = finder(r"\p{L}|\s+")
+    assert other(" ab") == [" ", "a", "b"]
+
+    class Compiled:
+        findall = staticmethod(lambda chunk: searched.append(chunk) or find(chunk))
+
+    monkeypatch.setattr(regex, "compile", lambda _: Compiled)
+    own = finder(P.PATTERN)
+    assert own(" word") == [" word"] and own("Één,") == ["Één", ","] and not searched
+    assert own("don't") == ["don", "'t"] and searched == ["don't"]
