@@ -8,8 +8,8 @@ Candidates are verified on all of their shingles, so no pair below the similarit
 
 Scale: a text is read once and becomes SEGMENTS numbers and a fingerprint; the shingles of candidates alone are read again. A
 segment value that many texts share would meet in all pairs there; its texts are first compared with
-two hubs. Texts of groups that this leaves apart meet only if their numbers of shingles, and of shingles that no
-other such text has, leave room for the similarity.
+two hubs. Texts that this leaves apart meet in rare shingles of their differences from the hub, and only where sizes
+and places of these leave room for the similarity.
 """
 
 from __future__ import annotations
@@ -36,9 +36,12 @@ SEED = 42
 BLOCK = 1 << 13
 # Texts that share a segment value are compared one by one up to this many. It changes the time only.
 CROWD = 16
-# Sizes of one class differ by less than this factor, and shingles are counted in so many parts. They change the time only.
-STEP = 1.02
-PARTS = 32
+# Similar texts differ in at most this part of the sum of their numbers of shingles.
+APART = (1 - SIMILARITY) / (1 + SIMILARITY)
+# Makes up for rounding of numbers that are compared with such bounds.
+ROUNDING = 1e-6
+# Differences of one class have sizes that differ by less than this factor. It changes the time only.
+STEP = 1.1
 
 _DRAW = np.random.default_rng(SEED).integers(0, 1 << 63, (2, SEGMENTS * ROWS, 1), np.uint64)
 _MIX, _FACTOR = _DRAW[0], _DRAW[1] * np.uint64(2) + np.uint64(1)
@@ -125,53 +128,68 @@ def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return found.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _hub_pairs(crowded: DataFrame) -> DataFrame:
-    """Each text of a crowd with two hubs: the one that crowds have most in common, and another in each segment."""
+def _hubs(crowded: DataFrame) -> DataFrame:
+    """Two texts of each crowded value: the one that crowds have most in common, and another in each segment."""
     reach = crowded.groupBy("key").agg(F.sum("n").alias("reach"))
-    placed = crowded.join(reach, "key")
-    hubs = placed.groupBy("value").agg(
+    return crowded.join(reach, "key").groupBy("value").agg(
         F.max(F.struct("reach", "key"))["key"].alias("h0"), F.min_by("key", F.xxhash64("key", "value")).alias("h1"))
+
+
+def _hub_pairs(crowded: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Each text of a crowd with the two hubs of each of its values."""
     return _met(crowded.select("value", "key"), hubs.select("value", F.explode(F.array("h0", "h1")).alias("key")), ["value"])
 
 
-def _size_class(size: Column) -> Column:
-    return F.floor(F.log(size) / math.log(STEP)).cast("int")
+def _class(differing: Column) -> Column:
+    return F.floor(F.log(differing) / math.log(STEP)).cast("int")
 
 
-def _pairs_apart(apart: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Pairs of ``apart`` (``value, key, root``) of one value and two roots, without those that cannot be similar.
+def _placed_differences(apart: DataFrame, shingles: DataFrame) -> DataFrame:
+    """One row for each text of ``apart`` (``hub, key, root``) and each place of its difference from the hub that a
+    similar text can ask for: ``hub, hash, place``, with ``n`` shingles of the text, ``d`` in the difference and ``e``
+    of these in another text's difference from this hub too. Places count from the rarest shingle on; the first
+    ``d - e`` are those of no other text."""
+    hubs = shingles.select(F.col("key").alias("hub"), F.col("hashes").alias("hub_hashes"))
+    differ = F.concat(F.array_except("hashes", "hub_hashes"), F.array_except("hub_hashes", "hashes"))
+    listed = written(apart.join(shingles, "key").join(hubs, "hub").select(
+        "hub", "key", "root", F.size("hashes").alias("n"), F.size("hub_hashes").alias("hub_n"), differ.alias("differ")), "near-differ")
+    each = listed.select("hub", "key", F.explode("differ").alias("hash"))
+    often = each.groupBy("hub", "hash").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    shared = each.join(often, ["hub", "hash"]).groupBy("hub", "key").agg(
+        F.sort_array(F.collect_list(F.struct("texts", "hash"))).alias("shared"))
+    known = listed.withColumn("d", F.size("differ")).drop("differ").join(shared, ["hub", "key"]).withColumn("e", F.size("shared"))
+    # Places of two similar texts add up to what they may differ in, and the larger has n / SIMILARITY shingles at most.
+    most = F.floor(F.lit(APART * (1 + 1 / SIMILARITY)) * F.col("n") + ROUNDING).cast("int")
+    asked = known.withColumn("shared", F.slice("shared", F.lit(1), F.greatest(F.lit(0), most - F.col("d") + F.col("e") + 1)))
+    return asked.select("hub", "key", "root", "n", "hub_n", "d", "e", F.posexplode("shared").alias("at", "found")).select(
+        "hub", "key", "root", "n", "hub_n", "d", "e", (F.col("d") - F.col("e") + F.col("at")).alias("place"), "found.hash")
 
-    Of x's ``n`` shingles ``v`` occur in another text of ``apart`` too, ``u = n - v`` do not. Two texts differ in
-    their u and at least in the difference of their v. So where x has the smaller v or an equal one, a similarity of s
-    asks for v(x) <= v(y) <= n(y) <= v(x) / s - u(x). Classes of v(y) and n(y) make an equality of this range, and
-    roots meet before their texts do, as most texts of a crowd have one root. What meets is compared by the counts of
-    v in PARTS parts of all shingles: the sum of their differences is at most that of the texts.
+
+def _pairs_apart(apart: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Pairs of ``apart`` (``hub, key, root``) of one hub and two roots, without those that cannot be similar.
+
+    Texts x and y of sizes n differ in as many shingles as their differences X and Y from the hub do, and a similarity
+    of s allows them APART * (n(x) + n(y)). As both would have one root if both were similar to the hub, one is not, and
+    then X and Y of a similar pair meet: in at least (d(x) + d(y) - APART * (n(x) + n(y))) / 2 shingles, and in one.
+    So with the shingles of all differences in one order, the first that X and Y share is in neither at a place above
+    (d(x) - d(y) + APART * (n(x) + n(y))) / 2, and the same for y. Rare shingles come first, so what most texts of the
+    crowd share, with the hub or apart from it, makes no pairs. Classes of d make an equality of its range.
     """
-    listed = shingles.join(apart.select("key").distinct(), "key", "left_semi")
-    each = listed.select("key", F.explode("hashes").alias("hash"))
-    own = each.groupBy("hash").agg(F.count(F.lit(1)).alias("texts"), F.min("key").alias("key")).filter(
-        "texts = 1").groupBy("key").agg(F.collect_list("hash").alias("own"))
-    shared = F.array_except("hashes", F.coalesce("own", F.array().cast("array<bigint>")))
-    part = F.pmod(F.xxhash64("hash"), F.lit(PARTS))
-    sizes = listed.join(own, "key", "left").select(
-        "key", F.size("hashes").alias("n"), F.size(shared).alias("v"), F.explode_outer(shared).alias("hash")).groupBy(
-        "key", "n", "v").agg(F.array(*[F.count(F.when(part == i, 1)).cast("int") for i in range(PARTS)]).alias("parts"))
-    # The small numbers make up for rounding.
-    most = F.floor(F.col("v") / F.lit(SIMILARITY) + 1e-6) - (F.col("n") - F.col("v"))
-    sized = written(apart.join(sizes.withColumn("most", most), "key").filter("v > 0"), "near-sizes")
-    cell = ["value", "of_v", "of_n"]
-    table = sized.select("value", _size_class(F.col("v")).alias("of_v"), _size_class(F.col("n")).alias("of_n"),
-                         F.col("root").alias("rb"), F.col("key").alias("b"), F.col("v").alias("vb"), F.col("n").alias("nb"),
-                         F.col("parts").alias("parts_b"))
-    probes = sized.filter("most >= v").select(
-        "value", F.explode(F.sequence(_size_class(F.col("v")), _size_class(F.col("most")))).alias("of_v"),
-        F.col("root").alias("ra"), F.col("key").alias("a"), "v", "n", "most", "parts").select(
-        "*", F.explode(F.sequence("of_v", _size_class(F.col("most")))).alias("of_n"))
-    meet = probes.select(*cell, "ra").distinct().join(table.select(*cell, "rb").distinct(), cell).filter("ra <> rb")
-    differ = F.expr("aggregate(zip_with(parts, parts_b, (p, q) -> abs(p - q)), n - v + nb - vb, (sum, d) -> sum + d)")
-    fits = differ <= F.lit((1 - SIMILARITY) / (1 + SIMILARITY)) * (F.col("n") + F.col("nb")) + 1e-6
-    pairs = meet.join(probes, [*cell, "ra"]).join(table, [*cell, "rb"]).filter("v <= vb AND nb <= most").filter(fits)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = written(_placed_differences(apart, shingles), "near-places")
+    cell = ["hub", "hash", "of_d"]
+    table = rows.select("hub", "hash", _class(F.col("d")).alias("of_d"), *[
+        F.col(c).alias(f"{c}_b") for c in ("key", "root", "n", "d", "e", "place")])
+    # y has the larger difference, and it or x is not similar to the hub.
+    least = F.greatest("d", F.floor(F.lit(APART) * (F.lit(SIMILARITY) * F.col("n") + F.col("hub_n")) - ROUNDING), F.lit(1))
+    most = F.floor(F.col("d") + F.lit(APART * (1 + 1 / SIMILARITY)) * F.col("n") - 2 * F.col("place") + ROUNDING)
+    probes = rows.withColumn("least", least).withColumn("most", most).filter("least <= most").select(
+        "hub", "hash", "key", "root", "n", "d", "e", "place", F.explode(F.sequence(_class(F.col("least")), _class(F.col("most")))).alias("of_d"))
+    may = F.lit(APART) * (F.col("n") + F.col("n_b")) + ROUNDING
+    pairs = probes.join(table, cell).filter(
+        (F.col("root") != F.col("root_b")) & F.expr("d < d_b OR d = d_b AND key < key_b")
+        & (2 * F.col("place") <= F.col("d") - F.col("d_b") + may) & (2 * F.col("place_b") <= F.col("d_b") - F.col("d") + may)
+        & (F.col("d") + F.col("d_b") - 2 * F.least("e", "e_b") <= may))
+    return pairs.select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -195,14 +213,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
     shingles = written(_shingles(bounded_batches(whole).select(F.explode("keys").alias("key"), "text")), "near-shingles")
 
     few, crowded = met.filter(F.col("n") <= CROWD).drop("n"), met.filter(F.col("n") > CROWD)
+    hubs = written(_hubs(crowded), "near-hubs")
     links = written(_links(
-        _met(few, few, ["value"]).unionByName(_hub_pairs(crowded)).unionByName(alike).distinct(), shingles), "near-links")
+        _met(few, few, ["value"]).unionByName(_hub_pairs(crowded, hubs)).unionByName(alike).distinct(), shingles), "near-links")
     roots = components(links)
     in_crowd = crowded.select("value", "key").join(roots, F.col("key") == F.col("node"), "left").select(
         "value", "key", F.coalesce("root", "key").alias("root"))
     mixed = Window.partitionBy("value")
     apart = written(in_crowd.withColumn("low", F.min("root").over(mixed)).withColumn("high", F.max("root").over(mixed)).filter(
-        "low < high").select("value", "key", "root"), "near-apart")
+        "low < high").join(hubs.withColumnRenamed("h0", "hub"), "value").select("hub", "key", "root").distinct(), "near-apart")
     if not apart.isEmpty():
         roots = components(links.unionByName(_links(_pairs_apart(apart, shingles), shingles)))
     return rows.join(roots, F.col("key") == F.col("node"), "left").select(

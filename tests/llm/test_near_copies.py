@@ -109,3 +109,36 @@ def test_pairs_of_a_crowd_do_not_grow_with_its_square(spark, small, monkeypatch)
     found = corpus_pipeline.drop_near_copies(spark, docs, small)
     assert sorted(r.doc_id for r in found.collect()) == staying(rows)
     assert len(verified) == 2 and verified[1] < 4 * len(rows)
+
+
+def joined_rows(frame):
+    """The most rows that a join of the plan that ``frame`` ran has made."""
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        rows = node.metrics().get("numOutputRows")
+        below = [walk(node.children().apply(i)) for i in range(node.children().size())]
+        return max([rows.get().value() if "Join" in kind and rows.isDefined() else 0, *below])
+
+    frame.collect()
+    return walk(frame._jdf.queryExecution().executedPlan())
+
+
+def test_a_crowd_meets_in_few_pairs(spark, small, monkeypatch):
+    """Copies of one text with a few words replaced: no join makes as many rows as ten for each text."""
+    rng, taken, links = random.Random(8), [], near_copies._links
+    monkeypatch.setattr(near_copies, "_links", lambda pairs, shingles: taken.append(pairs) or links(pairs, shingles))
+    rows = []
+    for i in range(500):
+        words = [f"w{j}" for j in range(150)]
+        for at in rng.sample(range(150), rng.randrange(2, 10)):
+            words[at] = f"x{rng.randrange(20)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.drop_near_copies(spark, docs, small)
+    assert sorted(r.doc_id for r in found.collect()) == staying(rows)
+    assert joined_rows(taken[1]) < 10 * len(rows)
