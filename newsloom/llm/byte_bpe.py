@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.binding import bind, quoted
+from newsloom.functions.binding import apply, bind
 from newsloom.llm.common import bounded_batches, most_frequent, or_blank, short_plans, written
 from newsloom.llm.merging import MergeTable, merge_all
 from newsloom.llm.pretokens import blocks, chunks, finder
@@ -45,13 +45,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> str:
-    """The ranks as a SQL literal, an array of small maps. Bytes are written as Latin-1 characters."""
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """The ranks as a literal, an array of small maps. Bytes are written as Latin-1 characters. A literal is no part of
+    SQL text: parsed expressions keep the text they come from."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         text = piece.decode("latin-1")
         buckets[xxhash.xxh64_intdigest(text.encode(), seed=42) % BUCKETS][text] = rank
-    return f"from_json({quoted(json.dumps(buckets))}, 'array<map<string,int>>')"
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
 
 def _rank(piece: str) -> str:
@@ -132,12 +133,13 @@ def word_counts(texts: DataFrame, pattern: str) -> DataFrame:
 
 
 def frequent_words(
-        texts: DataFrame, pattern: str, ranks: str, most: int = FREQUENT) -> tuple[Digests, np.ndarray, np.ndarray]:
+        texts: DataFrame, pattern: str, ranks: Column, most: int = FREQUENT) -> tuple[Digests, np.ndarray, np.ndarray]:
     """The most frequent pre-tokens, by digest, with the number of their ids and all ids together. Their number
     and length are bounded by ``most`` and LONG."""
     top = most_frequent(written(word_counts(texts, pattern), "bpe-words"), most).select("word")
     dealt = top.repartition(max(1, 2 * texts.sparkSession.sparkContext.defaultParallelism))
-    encoded = dealt.select("word", latin(F.col("word")).alias("w")).select("word", F.expr(folded("w", ranks)).alias("ids"))
+    encoded = dealt.select("word", latin(F.col("word")).alias("w")).select(
+        "word", apply(ranks, f"rank_table -> {folded('w', 'rank_table')}").alias("ids"))
     words = written(encoded, "bpe-ids").toArrow()
     parts = [c for c in words.column("ids").chunks if len(c)]
     lengths = [c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for c in parts]
@@ -261,20 +263,20 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     texts = short_plans(bounded_batches(docs)).select(F.col(id_col).alias("doc_id"), or_blank(F.col(text_col)).alias("text"))
     known = docs.sparkSession.sparkContext.broadcast(frequent_words(texts, pattern, ranks, frequent))
     rest = folded("decode(encode(p.word, 'utf-8'), 'iso-8859-1')", "rank_table")
-    joined = bind(ranks, "rank_table", f"flatten(transform(parts, p -> if(p.word is null, p.ids, concat(p.ids, {rest}))))")
-    return _segments(texts, path, pattern, known).select("doc_id", F.expr(joined).alias("ids"))
+    joined = f"rank_table -> flatten(transform(parts, p -> if(p.word is null, p.ids, concat(p.ids, {rest}))))"
+    return _segments(texts, path, pattern, known).select("doc_id", apply(ranks, joined).alias("ids"))
 
 
-def piece_literal(ranks: dict[bytes, int]) -> str:
+def piece_literal(ranks: dict[bytes, int]) -> Column:
     """The bytes of each id in the order of the ids, as strings of these bytes, whether they are text or not."""
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
     listed = json.dumps([base64.b64encode(p).decode() for p in pieces])
-    return f"cast(from_json({quoted(listed)}, 'array<binary>') as array<string>)"
+    return F.from_json(F.lit(listed), "array<binary>").cast("array<string>")
 
 
 def decoded(ids: str, path: str) -> Column:
     """The bytes that ``ids`` stand for, concatenated piece by piece. Unknown ids give null."""
     pieces = piece_literal(read_ranks(path))
-    return F.expr(bind(pieces, "pieces", f"cast(array_join(transform({ids}, x -> pieces[x]), '') as binary)"))
+    return apply(pieces, f"pieces -> cast(array_join(transform({ids}, x -> pieces[x]), '') as binary)")

@@ -31,3 +31,10 @@ def test_every_byte_is_decoded(spark):
     row = spark.createDataFrame([(ids,), ([],)], "ids array<int>").select("ids", byte_bpe.decoded("ids", RANKS).alias("back"))
     got = {len(r.ids): bytes(r.back) for r in row.filter(F.col("back").isNotNull()).collect()}
     assert got == {256: bytes(range(256)), 0: b""}
+
+
+def test_ranks_are_no_part_of_parsed_text(spark, small, monkeypatch):
+    parsed, expr = [], F.expr
+    monkeypatch.setattr(F, "expr", lambda text: parsed.append(len(text)) or expr(text))
+    byte_bpe.encode(spark.read.parquet(f"{small}/documents.parquet"), RANKS, P.PATTERN).select(byte_bpe.decoded("ids", RANKS))
+    assert parsed and max(parsed) < 10_000
